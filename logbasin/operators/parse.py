@@ -228,17 +228,30 @@ def positional_records(lines: DataFrame, column: str = "value", layout: str = "t
     return df.where("raw.parts is not null").select(*kept, *values)
 
 
+def canonical_columns(df: DataFrame) -> dict[str, Column]:
+    """Each canonical field from whichever vocabulary the input has; both are tried if both are there."""
+    found = {}
+    for name in FIELDS:
+        present = [n for n in (name, OTHER_NAMES.get(name)) if n in df.columns]
+        found[name] = F.coalesce(*[F.col(n) for n in present]) if present else F.lit(None).cast("string")
+    return found
+
+
 def preparsed_records(df: DataFrame) -> DataFrame:
-    """Records that arrive as columns of the second vocabulary: cast, date parts, rebuilt line."""
-    other = {canonical: old for canonical, old in OTHER_NAMES.items()}
-    raw_line = F.concat_ws(
-        " ", "timestamp_syslog", "hostname", "ip_cliente_externo", "metodo",
-        other["recurso"], "protocolo", "codigo_respuesta", "tamano_respuesta",
+    """Records that arrive as columns: numbers cast, date parts from the request time, line rebuilt."""
+    raw = canonical_columns(df)
+    line = F.concat_ws(
+        " ",
+        *[raw[n] for n in (
+            "timestamp_syslog", "hostname", "ip_cliente_externo", "metodo",
+            "recurso", "protocolo", "codigo_respuesta", "tamano_respuesta",
+        )],
     )
-    names = [other.get(n, n) for n in FIELDS]
-    columns = [cleaning.clean(c, F.col(n), "none").alias(n) if c not in cleaning.NUMERIC_TYPES
-               else F.col(n).try_cast(cleaning.NUMERIC_TYPES[c]).alias(n) for c, n in zip(FIELDS, names)]
+    typed = [c.try_cast(cleaning.NUMERIC_TYPES.get(n, "string")).alias(n) for n, c in raw.items()]
     extra = [F.col(n) for n in ("processed_at", "log_type") if n in df.columns]
-    time = timestamps.request_time(F.col("timestamp_rp"))
-    parsed = df.select(raw_line.alias("raw_log"), *columns, *extra, time.alias("parsed_timestamp_rp"))
-    return parsed.withColumns(timestamps.date_parts(F.col("parsed_timestamp_rp")))
+    once = evaluated_once({"request": timestamps.request_time(raw["timestamp_apache"])}).alias("times")
+    time = F.col("times.request")
+    return df.select("*", once).select(
+        line.alias("raw_log"), *typed, *extra, time.alias("parsed_timestamp_apache"),
+        *[part.alias(n) for n, part in timestamps.date_parts(time).items()],
+    )

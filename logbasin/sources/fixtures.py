@@ -8,8 +8,12 @@ the whole table.
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logbasin.functions import classify
 from logbasin.functions.classify import PROFILES
@@ -48,16 +52,18 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
-def field_values(rows: DataFrame) -> DataFrame:
-    """The raw field values of every record, as they stand in a line, and its ``fmt``."""
-    values = rows.selectExpr(*PROJECTION)
+def field_values(rows: DataFrame, *keep: str) -> DataFrame:
+    """The raw field values of every record, as they stand in a line, its ``fmt`` and the columns to keep."""
+    values = rows.selectExpr(*keep, *PROJECTION)
     time = F.expr("timestamp_ntz'2025-08-01 00:00:00' + make_dt_interval(0, 0, 0, sec)")
     values = values.withColumn("time", time)
     clock = F.substring(F.col("time").cast("string"), 12, 8)
     month = F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.month("time"))
     day = F.dayofmonth("time").cast("string")
     return values.select(
+        *keep,
         "fmt",
+        "time",
         F.concat_ws(" ", month, F.lpad(day, 2, " "), clock).alias("timestamp_syslog"),
         F.lit("www.example.org").alias("hostname"),
         "ip_cliente_externo",
@@ -94,12 +100,12 @@ def text_line() -> Column:
     )
 
 
-def _json_line() -> Column:
+def json_line() -> Column:
     """As an agent writes it: canonical names, all strings."""
     return F.to_json(F.struct(*[F.col(n).cast("string").alias(n) for n in FIELDS]))
 
 
-def _bridge_json_line() -> Column:
+def bridge_json_line() -> Column:
     """As the bridge writes it: second vocabulary, numbers, its own classification."""
     rules = PROFILES["bridge"]
     code, time_ms = F.col("codigo_respuesta"), F.col("tiempo_respuesta_ms")
@@ -115,7 +121,7 @@ def _bridge_json_line() -> Column:
     return F.to_json(F.struct(*[F.col(n).alias(OTHER_NAMES.get(n, n)) for n in FIELDS], *own))
 
 
-def _envelope_line() -> Column:
+def envelope_line() -> Column:
     return F.to_json(
         F.struct(
             text_line().alias("message"),
@@ -130,9 +136,9 @@ def _envelope_line() -> Column:
 def rendered(values: DataFrame, *keep: str) -> DataFrame:
     """Each record as one raw line, in the format named by ``fmt``."""
     line = (
-        F.when(F.col("fmt") == "json", _json_line())
-        .when(F.col("fmt") == "json_old", _bridge_json_line())
-        .when(F.col("fmt") == "envelope", _envelope_line())
+        F.when(F.col("fmt") == "json", json_line())
+        .when(F.col("fmt") == "json_old", bridge_json_line())
+        .when(F.col("fmt") == "envelope", envelope_line())
         .when(F.col("fmt") == "bad", F.concat(F.lit("corrupt "), text_line()))
         .otherwise(text_line())
     )
@@ -144,6 +150,32 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(field_values(lineitem(spark, sf_dir)))
 
 
+def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines with the time they arrived at."""
+    values = field_values(lineitem(spark, sf_dir)).withColumnRenamed("time", "arrived")
+    return rendered(values, "arrived")
+
+
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of ``lineitem`` as plain lines."""
-    return field_values(lineitem(spark, sf_dir)).select(text_line().alias("value"))
+    return rendered_text(spark, sf_dir)
+
+
+def rendered_text(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return field_values(lineitem(spark, sf_dir), *keep).select(*keep, text_line().alias("value"))
+
+
+def unquoted_line() -> Column:
+    """The line in the layout without quotes around most fields; its cache age is a number."""
+    age = F.when(F.col("edad_cache") == "120", "120").otherwise("0").alias("edad_cache")
+    empty = {"identidad": F.lit("-"), "campo_reservado_1": F.lit("-"), "edad_cache": age}
+    return F.format_string(
+        '%s %s %s %s %s %s [%s] "%s %s %s" %s %s "%s" "%s" %s %s "%s" %s %s %s %s %s',
+        *[empty.get(n, F.col(n)) for n in FIELDS],
+    )
+
+
+@F.pandas_udf(T.BinaryType())
+def gzipped(data: pd.Series) -> pd.Series:
+    """Spark has no gzip function; this makes the compressed payloads."""
+    return data.map(gzip.compress)
