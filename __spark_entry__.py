@@ -380,7 +380,7 @@ def _flat_alerts(found: DataFrame) -> DataFrame:
     return found.select(
         "log_type",
         F.concat_ws("; ", "error_reasons").alias("error_reasons"),
-        *[data[n].alias(n) for n in names],
+        *[(F.coalesce(data[n], F.lit(0)) if n in MEASURED else data[n]).alias(n) for n in names],
         F.concat_ws(",", data["detected_keywords"]).alias("detected_keywords"),
     )
 

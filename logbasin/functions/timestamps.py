@@ -7,14 +7,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def as_wall_time(instant: Column) -> Column:
+    """What a clock in UTC shows at an instant, whatever the session's time zone."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.unix_seconds(instant))
+
+
+def as_instant(wall_time: Column) -> Column:
+    """The instant at which a clock in UTC shows a wall time."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_seconds(F.timestamp_diff("SECOND", start, wall_time))
+
+
 def _wall_time(text: Column, pattern: str) -> Column:
     """Text to a zone-free time; null if it does not fit.
 
     It is read as if it stood in UTC, because only the reader with a zone has a
     form that yields null on bad input.
     """
-    instant = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(pattern + " Z"))
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.unix_seconds(instant))
+    return as_wall_time(F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(pattern + " Z")))
 
 
 def request_time(raw: Column) -> Column:

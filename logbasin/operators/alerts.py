@@ -94,7 +94,7 @@ def flagged_requests(alerts: DataFrame) -> DataFrame:
     )
 
 
-def all_requests(table: DataFrame, *others: str) -> DataFrame:
+def all_requests(table: DataFrame, *others: str | Column) -> DataFrame:
     """The whole request table as metric input."""
     return table.select(
         *others,

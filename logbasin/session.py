@@ -20,18 +20,23 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# On one machine the cost of a write is the number of files a task opens, not
+# the bytes it moves, so small partitions are kept apart.
+LOCAL_SETTINGS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "512k"}
+
 
 def get_session(app_name: str = "logbasin", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return apply_settings(builder.getOrCreate())
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Bring a session made elsewhere to the same settings; what its owner set is kept."""
     owned = spark.sparkContext.getConf()
-    for key, value in SETTINGS.items():
+    local = spark.sparkContext.master.startswith("local")
+    for key, value in {**SETTINGS, **(LOCAL_SETTINGS if local else {})}.items():
         if not owned.contains(key):
             spark.conf.set(key, value)
     return spark

@@ -75,10 +75,12 @@ def _sql(body: str, ctes: str = "") -> str:
 
 # The 22 fields by cleaning rules; ``{x}`` stands for the expression of a cleaned field.
 def _fields(source: str, where: str = "", raw: bool = False, empty_is_null: bool = False,
-            numbers: bool = True, old_names: bool = False) -> str:
+            numbers: bool = True, old_names: bool = False, quoted: bool = False) -> str:
     def text(name):
         if raw:
             return name
+        if quoted:
+            return f"nullif({name},'')"
         inner = f"nullif({name},'-')"
         return f"nullif({inner},'')" if empty_is_null else inner
 
@@ -98,7 +100,9 @@ def _fields(source: str, where: str = "", raw: bool = False, empty_is_null: bool
         "campo_reservado_2": "cast(null as varchar)", "ambiente_origen": "ambiente_origen",
         "ambiente_pool": "ambiente_pool", "entorno_nodo": "entorno_nodo",
     }
-    if empty_is_null:
+    if quoted:
+        columns["campo_reservado_1"] = "cast(null as varchar)"
+    if empty_is_null or quoted:
         columns["user_agent"] = "nullif(user_agent,'')"
     listed = ", ".join(f"{e} as {names.get(n, n) if old_names else n}" for n, e in columns.items())
     return f" select {listed} from {source} {where}"
@@ -133,7 +137,8 @@ def statements() -> dict[str, str]:
     q["parse_text_tolerant"] = _sql(_fields("rec"))
     q["parse_text_strict"] = _sql(_fields("rec", "where day(ts) < 10"))
     q["parse_json_alias"] = _sql(_fields("rec", "where fmt in ('json','json_old')"))
-    q["parse_grok"] = _sql(_fields("rec"))
+    # A grok token keeps the quotes, so "" is a placeholder and "-" is not.
+    q["parse_grok"] = _sql(_fields("rec", quoted=True))
     q["parse_unquoted"] = _sql(
         """ select timestamp_syslog, ip_cliente_externo, recurso, code as codigo_respuesta, size as tamano_respuesta,
         ms as tiempo_respuesta_ms, case when edad_cache = '120' then '120' else '0' end as edad_cache,
@@ -400,8 +405,8 @@ def statements() -> dict[str, str]:
         from (select *, timestamp_apache as timestamp_rp from rec) where {flagged} and fmt <> 'bad'"""
     q["alert_records"] = _sql(" " + access)
     q["alert_records_strict"] = _sql(f" {access} and (fmt in ('json','json_old') or day(ts) < 10)")
-    generic = """select 'f5_generic_error', 'Contains error keyword', cast(null as varchar), cast(null as integer),
-        cast(null as bigint), cast(null as bigint), cast(null as varchar), cast(null as varchar),
+    generic = """select 'f5_generic_error', 'Contains error keyword', cast(null as varchar), cast(0 as integer),
+        cast(0 as bigint), cast(0 as bigint), cast(null as varchar), cast(null as varchar),
         cast(null as varchar), cast(null as varchar), cast(null as varchar), cast(null as varchar), 'ERROR'
         from rec where fmt = 'json_old'"""
     q["alert_records_faithful"] = _sql(f" {access} and fmt in ('text','envelope') and day(ts) < 10 union all {generic}")
