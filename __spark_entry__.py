@@ -637,7 +637,7 @@ def result_export(spark, sf_dir):
 
 def _line_stream(spark, sf_dir) -> DataFrame:
     """The lines as a stream over the given table."""
-    schema = fixtures.lineitem(spark, sf_dir).schema
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
     return fixtures.rendered(fixtures.field_values(rows))
 

@@ -184,18 +184,17 @@ def raw_records(
 def typed_records(raw: DataFrame, rules: str = "main", base_year: int | None = None) -> DataFrame:
     """Clean and cast the raw fields and add both event times and the date parts."""
     kept = [c for c in raw.columns if c not in FIELDS]
-    times = {
-        "syslog": timestamps.syslog_time(F.col("timestamp_syslog"), base_year, F.col("timestamp_apache")),
-        "request": timestamps.request_time(F.col("timestamp_apache")),
-    }
-    timed = raw.select("*", evaluated_once(times).alias("times"))
-    syslog = F.col("times.syslog")
+    # Partition filters use the syslog time in four ways; the request time is
+    # often not used at all, so it stays a column that can be left out.
+    syslog = timestamps.syslog_time(F.col("timestamp_syslog"), base_year, F.col("timestamp_apache"))
+    timed = raw.select("*", evaluated_once({"syslog": syslog}).alias("times"))
+    time = F.col("times.syslog")
     return timed.select(
         *kept,
         *[cleaning.clean(n, F.col(n), rules).alias(n) for n in FIELDS],
-        syslog.alias("parsed_timestamp_syslog"),
-        F.col("times.request").alias("parsed_timestamp_apache"),
-        *[part.alias(n) for n, part in timestamps.date_parts(syslog).items()],
+        time.alias("parsed_timestamp_syslog"),
+        timestamps.request_time(F.col("timestamp_apache")).alias("parsed_timestamp_apache"),
+        *[part.alias(n) for n, part in timestamps.date_parts(time).items()],
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from logbasin.functions import classify
 from logbasin.functions.classify import PROFILES
 from logbasin.schema import FIELDS, OTHER_NAMES
+from logbasin.sources import readers
 
 PROJECTION = [
     "case when l_orderkey % 50 = 7 then 'bad' when l_orderkey % 10 in (0, 1) then 'json'"
@@ -45,11 +46,16 @@ PROJECTION = [
     "case when l_linestatus = 'O' then 'TEPROD' else 'PAPROD' end as entorno_nodo",
 ]
 
+# The columns the projection reads.
+COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus",
+]
+
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return readers.spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*COLUMNS))
 
 
 def field_values(rows: DataFrame, *keep: str) -> DataFrame:
@@ -92,12 +98,23 @@ def field_values(rows: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+# The text around the fields of a line.
+QUOTED = '%s %s %s [%s] %s %s [%s] "%s %s %s" %s %s "%s" "%s" Time %s Age "%s" "%s" "%s" %s "%s" "%s" %s'
+UNQUOTED = '%s %s %s %s %s %s [%s] "%s %s %s" %s %s "%s" "%s" %s %s "%s" %s %s %s %s %s'
+
+
+def _filled(template: str, values: list[Column]) -> Column:
+    """The template with its gaps filled, as one concatenation."""
+    pieces = template.split("%s")
+    parts = [F.lit(pieces[0])] if pieces[0] else []
+    for value, text in zip(values, pieces[1:]):
+        parts += [value.cast("string")] + ([F.lit(text)] if text else [])
+    return F.concat(*parts)
+
+
 def text_line() -> Column:
     """The plain line of a record."""
-    return F.format_string(
-        '%s %s %s [%s] %s %s [%s] "%s %s %s" %s %s "%s" "%s" Time %s Age "%s" "%s" "%s" %s "%s" "%s" %s',
-        *FIELDS,
-    )
+    return _filled(QUOTED, [F.col(n) for n in FIELDS])
 
 
 def json_line() -> Column:
@@ -169,10 +186,7 @@ def unquoted_line() -> Column:
     """The line in the layout without quotes around most fields; its cache age is a number."""
     age = F.when(F.col("edad_cache") == "120", "120").otherwise("0").alias("edad_cache")
     empty = {"identidad": F.lit("-"), "campo_reservado_1": F.lit("-"), "edad_cache": age}
-    return F.format_string(
-        '%s %s %s %s %s %s [%s] "%s %s %s" %s %s "%s" "%s" %s %s "%s" %s %s %s %s %s',
-        *[empty.get(n, F.col(n)) for n in FIELDS],
-    )
+    return _filled(UNQUOTED, [empty.get(n, F.col(n)) for n in FIELDS])
 
 
 @F.pandas_udf(T.BinaryType())

@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from logbasin.schema import json_record_schema, table_schema
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a small input over all cores before costly parsing.
+
+    An input with at least as many splits as there are cores is left as it is:
+    it needs no shuffle to keep them busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every line below a prefix, gzip or plain, as ``value``."""
     return spark.read.option("recursiveFileLookup", True).text(path)
