@@ -483,7 +483,8 @@ def schema_conformance(spark, sf_dir):
     requests = _requests(spark, sf_dir)
     partitions = ["year", "month", "day", "hour"]
     report = quality.schema_conformance(requests, partitions, expected_partitions=[*partitions, "f5_environment"])
-    return report.crossJoin(requests.agg(F.count(F.lit(1)).alias("records")))
+    lists = {n: F.concat_ws(",", n) for n in ("missing_columns", "missing_partitions")}
+    return report.withColumns(lists)
 
 
 @query

@@ -119,9 +119,9 @@ def _missing_key(line: Column, record: Column) -> Column:
     return F.when(any_null, ~F.coalesce(has_all, F.lit(False))).otherwise(False)
 
 
-def _from_json(name: str, record: Column) -> Column:
-    other = OTHER_NAMES.get(name)
-    return F.coalesce(record[name], record[other]) if other else record[name]
+def _in_record(name: str) -> str:
+    """Where a JSON record holds a field: under either of its names."""
+    return ", ".join(f"record.{n}" for n in (name, OTHER_NAMES.get(name)) if n)
 
 
 def raw_records(
@@ -176,9 +176,10 @@ def raw_records(
         .when(line.rlike(patterns.SYSLOG_PREFIX), "no_pattern_match")
         .otherwise("unknown_format")
     )
+    df = df.select(*kept, "line", record_format.alias("record_format"), reason.alias("reject_reason"), "record", "parts")
     order = {name: i for i, name in enumerate(chosen.fields)}
-    fields = [F.coalesce(_from_json(n, record), parts[order[n]]).alias(n) for n in FIELDS]
-    return df.select(*kept, "line", record_format.alias("record_format"), reason.alias("reject_reason"), *fields)
+    fields = [f"coalesce({_in_record(n)}, parts[{order[n]}]) as {n}" for n in FIELDS]
+    return df.selectExpr(*kept, "line", "record_format", "reject_reason", *fields)
 
 
 def typed_records(raw: DataFrame, rules: str = "main", base_year: int | None = None) -> DataFrame:

@@ -12,6 +12,21 @@ from logbasin.schema import DERIVED_TYPES, FIELDS, NUMERIC_TYPES, PARTITIONS, RE
 EXCERPT = 100
 
 
+def _conformance(df: DataFrame, columns: int, keys: int, missing: list[str], missing_keys: list[str],
+                 status: str) -> DataFrame:
+    def texts(values: list[str]) -> Column:
+        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+    return df.agg(F.count(F.lit(1)).alias("records")).select(
+        F.lit(columns).alias("schema_columns"),
+        F.lit(keys).alias("partition_keys"),
+        texts(missing).alias("missing_columns"),
+        texts(missing_keys).alias("missing_partitions"),
+        F.lit(status).alias("status"),
+        "records",
+    )
+
+
 def schema_conformance(df: DataFrame, partition_columns: list[str], expected: list[str] | None = None,
                        expected_partitions: list[str] | None = None) -> DataFrame:
     """Expected against actual columns and partition keys: PASS, or PARTIAL with what is missing."""
@@ -20,19 +35,13 @@ def schema_conformance(df: DataFrame, partition_columns: list[str], expected: li
     columns = [c for c in expected if c not in df.columns]
     keys = [c for c in expected_partitions if c not in partition_columns]
     status = "PASS" if not columns and not keys else "PARTIAL"
-    row = (len(df.columns) - len(partition_columns), len(partition_columns), columns, keys, status)
-    ddl = "schema_columns int, partition_keys int, missing_columns array<string>, missing_partitions array<string>, status string"
-    return df.sparkSession.createDataFrame([row], ddl)
+    return _conformance(df, len(df.columns) - len(partition_columns), len(partition_columns), columns, keys, status)
 
 
 def table_conformance(spark: SparkSession, name: str, **expected) -> DataFrame:
     """The same for a catalog table; FAIL if there is none."""
     if not spark.catalog.tableExists(name):
-        return spark.createDataFrame(
-            [(0, 0, [], [], "FAIL")],
-            "schema_columns int, partition_keys int, missing_columns array<string>,"
-            " missing_partitions array<string>, status string",
-        )
+        return _conformance(spark.range(0), 0, 0, [], [], "FAIL")
     keys = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
     return schema_conformance(spark.table(name), keys, **expected)
 

@@ -103,23 +103,23 @@ QUOTED = '%s %s %s [%s] %s %s [%s] "%s %s %s" %s %s "%s" "%s" Time %s Age "%s" "
 UNQUOTED = '%s %s %s %s %s %s [%s] "%s %s %s" %s %s "%s" "%s" %s %s "%s" %s %s %s %s %s'
 
 
-def _filled(template: str, values: list[Column]) -> Column:
+def _filled(template: str, values: list[str]) -> Column:
     """The template with its gaps filled, as one concatenation."""
     pieces = template.split("%s")
-    parts = [F.lit(pieces[0])] if pieces[0] else []
+    parts = [f"'{pieces[0]}'"]
     for value, text in zip(values, pieces[1:]):
-        parts += [value.cast("string")] + ([F.lit(text)] if text else [])
-    return F.concat(*parts)
+        parts += [f"cast({value} as string)", f"'{text}'"]
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def text_line() -> Column:
     """The plain line of a record."""
-    return _filled(QUOTED, [F.col(n) for n in FIELDS])
+    return _filled(QUOTED, FIELDS)
 
 
 def json_line() -> Column:
     """As an agent writes it: canonical names, all strings."""
-    return F.to_json(F.struct(*[F.col(n).cast("string").alias(n) for n in FIELDS]))
+    return F.expr("to_json(struct(" + ", ".join(f"cast({n} as string) as {n}" for n in FIELDS) + "))")
 
 
 def bridge_json_line() -> Column:
@@ -184,9 +184,12 @@ def rendered_text(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 def unquoted_line() -> Column:
     """The line in the layout without quotes around most fields; its cache age is a number."""
-    age = F.when(F.col("edad_cache") == "120", "120").otherwise("0").alias("edad_cache")
-    empty = {"identidad": F.lit("-"), "campo_reservado_1": F.lit("-"), "edad_cache": age}
-    return _filled(UNQUOTED, [empty.get(n, F.col(n)) for n in FIELDS])
+    changed = {
+        "identidad": "'-'",
+        "campo_reservado_1": "'-'",
+        "edad_cache": "if(edad_cache = '120', '120', '0')",
+    }
+    return _filled(UNQUOTED, [changed.get(n, n) for n in FIELDS])
 
 
 @F.pandas_udf(T.BinaryType())

@@ -436,6 +436,9 @@ def statements() -> dict[str, str]:
         windowed += (" union all" if i else "") + f""" select window_start, window_end, F5Environment, Pool,
         VirtualServer, '{name}' as metric, {expression} as value, '{unit}' as unit from wide"""
     q["windowed_pool_metrics"] = _sql(windowed)
+    # A stream has closed the windows that end before its latest time less ten minutes.
+    closed = "where window_end <= (select max(ts) from ok) - interval 10 minutes"
+    q["stream_window_metrics"] = _sql(windowed.replace("from wide", f"from wide {closed}"))
 
     # alarms
     def alarm(windows: str, period: int, n: int, breach: str, missing: str = "false") -> str:
@@ -482,6 +485,10 @@ def statements() -> dict[str, str]:
     )
 
     # quality
+    q["schema_conformance"] = _sql(
+        """ select 33::integer as schema_columns, 4::integer as partition_keys, '' as missing_columns,
+        'f5_environment' as missing_partitions, 'PARTIAL' as status, count(*) as records from ok"""
+    )
     q["data_profile"] = _sql(
         """ select count(*) as records, count(distinct nullif(content_type,'')) as content_types,
         count(distinct code) as response_codes, count(distinct metodo) as methods,

@@ -10,7 +10,6 @@ from check import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = entry_points.oracle_sql()
-ROWS_ONLY = {"schema_conformance", "stream_window_metrics"}
 
 
 @pytest.fixture(scope="module")
@@ -21,17 +20,14 @@ def db():
     return connection
 
 
-def test_only_these_have_no_sql():
-    assert set(entry_points.queries()) - set(SQL) == ROWS_ONLY
+def test_every_query_has_its_sql():
+    assert set(entry_points.queries()) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(entry_points.queries()))
 def test_query(spark, db, name):
     found = entry_points.queries()[name](spark, FOLDER).toPandas()
-    if name in SQL:
-        assert compare(name, found, db.sql(SQL[name]).df()) == ""
-    else:
-        assert len(found)
+    assert compare(name, found, db.sql(SQL[name]).df()) == ""
 
 
 def test_entry(spark):
