@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return part * F.lit(100.0) / whole
+    """Null, not an error, where there is nothing to take a share of."""
+    return F.try_divide(part * F.lit(100.0), whole)
 
 
 def stream_health(error_rate: Column, slow_rate: Column) -> Column:

@@ -43,6 +43,7 @@ def line():
 @pytest.fixture
 def lines(spark):
     def make(*values: str):
+        """A table of lines; none gives an empty one."""
         return spark.createDataFrame([(v,) for v in values], "value string")
 
     return make

@@ -211,3 +211,23 @@ def test_profile_ignores_zeros(spark):
     row = quality.data_profile(table).collect()[0]
     assert (row.min_response_time, row.max_response_time, row.mean_response_time) == (7, 10, 8)
     assert (row.mean_response_size, row.response_codes, row.pools, row.content_types) == (None, 2, 2, 0)
+
+
+def test_empty_input_gives_empty_or_null_reports(spark, lines):
+    from logbasin.operators import parse
+
+    table = etl.requests(lines("nothing to see"))
+    span = (datetime(2025, 8, 1), datetime(2025, 8, 31))
+    assert jobs.slow_rate(table, *span).collect()[0].slow_rate is None
+    assert jobs.etl_error_stats(table).collect()[0].asDict() == {
+        "total_records": 0, "error_records": 0, "slow_records": 0, "error_rate": None, "slow_rate": None}
+    assert jobs.etl_format_stats(parse.parse_lines(lines())).collect()[0].success_rate is None
+    assert quality.data_profile(table).collect()[0].records == 0
+    assert jobs.error_analysis(table).count() == jobs.hourly_summary(table).count() == 0
+
+
+def test_groups_without_any_time(spark):
+    table = requests(spark, [(i, 500, None, "p") for i in range(12)]).selectExpr(
+        "*", "cast(null as bigint) as tamano_respuesta", "'c' as ip_cliente_externo")
+    row = jobs.pool_health_monitoring(table).collect()[0]
+    assert (row.total_requests, row.avg_response_time_ms, row.p95_response_time_ms) == (12, None, None)
