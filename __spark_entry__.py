@@ -22,6 +22,12 @@ from logbasin.session import apply_settings, new_folder  # noqa: E402
 from logbasin.sources import fixtures, readers, retention, writers  # noqa: E402
 from logbasin.streaming import jobs as streams  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from logbasin.llm import queries as corpus
+except ImportError:  # the subpackage is optional
+    corpus_pipeline = corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -722,8 +728,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(REGISTRY)
+    return REGISTRY | ({**corpus.QUERIES, "pipeline": corpus_pipeline.run} if corpus else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in oracles.statements().items() if name in REGISTRY}
+    own = {name: sql for name, sql in oracles.statements().items() if name in REGISTRY}
+    return own | (corpus.ORACLES if corpus else {})

@@ -21,10 +21,10 @@ def db():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_points.queries()) == set(SQL)
+    assert set(entry_points.REGISTRY) <= set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(entry_points.REGISTRY))
 def test_query(spark, db, name):
     found = entry_points.queries()[name](spark, FOLDER).toPandas()
     assert compare(name, found, db.sql(SQL[name]).df()) == ""
