@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logbasin.llm import line_dedup, minhash, mixing
+from logbasin.llm import line_dedup, minhash, mixing, pieces, quality
+from logbasin.llm.common import table
 from logbasin.session import new_folder
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.filter_good(docs, table(spark, sf_dir, "labels"))
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five or more documents hold stay only in the largest doc_id."""
     return line_dedup.dedup_lines(docs).drop("n_lines", "n_dropped")
@@ -23,10 +30,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as sampled piece ids, and whether they decode to the text again."""
+    coded = pieces.decode(pieces.encode(docs))
+    return coded.withColumn("lossless", F.col("text").eqNullSafe(F.col("decoded"))).drop("decoded")
+
+
 STAGES = [
+    ("quality", keep_good),
     ("line_dedup", dedup_lines),
     ("minhash_dedup", drop_near_duplicates),
     ("mixing", mix_sources),
+    ("pieces", encode_pieces),
 ]
 
 

@@ -262,10 +262,9 @@ def _compare(threshold: int, limit: int):
     return run
 
 
-def _blocks(rows: DataFrame, name: str, block: int) -> DataFrame:
-    """A group's members in blocks of about ``block``, dealt by hash."""
-    sizes = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    dealt = rows.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+def _blocks(rows: DataFrame, name: str, size: str, block: int) -> DataFrame:
+    """A group's members in blocks of about ``block``, dealt by hash; ``size`` names the column with their number."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col(size) / block)))
     return dealt.groupBy("grp", "part").agg(F.collect_list(F.struct("rep", "label", "minima", "shingles")).alias(name)).drop("part")
 
 
@@ -310,11 +309,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     named = named.join(chains.select(F.col("u").alias("rep"), F.col("v").alias("grp")), "rep", "left")
     named = stage(named.select("rep", F.coalesce("label", "rep").alias("label"), F.coalesce("grp", "rep").alias("grp")), "mh-named")
     parts = named.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("size"))
-    mixed_groups = parts.groupBy("grp").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("size", "label"))["label"].alias("main")).where("labels > 1")
-    mixed_groups = stage(mixed_groups.select("grp", "main"), "mh-groups")
+    largest = F.max(F.struct("size", "label"))
+    mixed_groups = parts.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("labels"), largest["label"].alias("main"), F.sum("size").alias("all_size"), (F.sum("size") - largest["size"]).alias("some_size")
+    )
+    mixed_groups = stage(mixed_groups.where("labels > 1").drop("labels"), "mh-groups")
     open_rows = stage(named.join(mixed_groups, "grp").join(sets, "rep"), "mh-open")
-    some = _blocks(open_rows.where("label <> main"), "some", block)
-    members = _blocks(open_rows, "members", block)
+    some = _blocks(open_rows.where("label <> main"), "some", "some_size", block)
+    members = _blocks(open_rows, "members", "all_size", block)
     more = some.join(members, "grp").select("some", "members").mapInArrow(_compare(threshold, limit), "u long, v long")
     final = components(links.unionByName(stage(more.where("u <> v").distinct(), "mh-more")))
     # Back to all rows: by the class of the row's set.

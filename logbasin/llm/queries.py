@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logbasin.llm import ann, exact_topk, line_dedup, minhash, mixing, sharding
+from logbasin.llm import ann, exact_topk, line_dedup, minhash, mixing, pieces, quality, secret_scan, sharding, tool_calls
 from logbasin.llm.common import table
 
 
@@ -19,6 +19,29 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table holds prose, so every assistant turn is read as a call and the user turn behind it as its result."""
+    calls, results = tool_calls.from_conversations(table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link(calls, results, tool_calls.tools(spark))
+    return linked.select(
+        "conv_id", "place", "turn", "call_id", "name", "level", "status", F.array_join("errors", ",").alias("errors"), "json",
+    )
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding, without its text: trained on the labelled findings of documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, ~quality.is_held_out(F.col("doc_id")))
+    return found.select(
+        "doc_id", F.sha2(F.col("candidate").cast("binary"), 256).alias("finding_sha256"), F.char_length("candidate").alias("length"),
+        "occurrences", "score", "secret",
+    )
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -32,6 +55,15 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled ids of every whole text, decoded again: how many, their checksum and whether the text came back."""
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    ids = F.crc32(F.to_binary(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 4, "0")), ""), F.lit("hex")))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), ids.alias("ids_crc32"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless")
+    )
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
@@ -42,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_neighbours, op6_sharding, op7_minhash, op9_exact_topk, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_neighbours, op3_tool_calls, op4_secrets, op5_quality, op6_sharding, op7_minhash, op8_pieces, op9_exact_topk, op10_mixing)}
 
 ORACLES = {
     "op1_line_dedup": r"""
