@@ -24,36 +24,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logbasin.llm import forest
-from logbasin.llm.common import WORD, fresh_name, stage
+from logbasin.llm.common import SPACES, UPPER, fresh_name, stage
 
 MAX_ROWS, TREES, DEPTH, PENALTY, THRESHOLD, SEED = 20_000, 20, 3, 0.002, 0.3, 5
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Figures of a whole text; all are 0 for an empty one."""
-    text = F.coalesce(text, F.lit(""))
-    chars = F.char_length(text).cast("double")
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words).cast("double")
+def split_words(text: Column) -> Column:
+    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES)), "[\\x20\\x09-\\x0D]+")
+
+
+SYMBOLS, STOPS, DIGITS = "#$%&*@^~<>{}[]\\=+_", ".;:?", "0123456789"
+
+
+def classed(text: Column) -> Column:
+    """The text with one letter for each class of marks, so that a class is counted by removing that letter."""
+    kinds = (SYMBOLS, STOPS, DIGITS, UPPER)
+    return F.translate(F.coalesce(text, F.lit("")), "".join(k[1:] for k in kinds), "".join(k[0] * (len(k) - 1) for k in kinds))
+
+
+def statistics(marks: Column, words: Column) -> dict[str, Column]:
+    """Figures of a whole text, all 0 for an empty one, from columns of ``classed`` and ``split_words``, each made once."""
+    chars = F.char_length(marks).cast("double")
+    n = F.when(words[0] == "", 0).otherwise(F.size(words)).cast("double")
     part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0).cast("double")
-    without = lambda marks: chars - F.char_length(F.translate(text, marks, ""))
+    number = lambda mark: chars - F.char_length(F.replace(marks, F.lit(mark), F.lit("")))
     return {
         "log_words": F.log1p(n),
         "word_length": part(chars, n),
-        "symbols": part(without("#$%&*@^~<>{}[]\\=+_"), n),
-        "bars": part(without("|"), n),
-        "shouts": part(without("!"), n),
-        "stops": part(without(".;:?"), n),
-        "digits": part(without("0123456789"), chars),
-        "capitals": part(without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars),
+        "symbols": part(number(SYMBOLS[0]), n),
+        "bars": part(number("|"), n),
+        "shouts": part(number("!"), n),
+        "stops": part(number(STOPS[0]), n),
+        "digits": part(number(DIGITS[0]), chars),
+        "capitals": part(number(UPPER[0]), chars),
         "distinct": part(F.size(F.array_distinct(words)).cast("double"), n),
-        "lines": part(without("\n"), n),
-        "longest": F.coalesce(F.aggregate(words, F.lit(0), lambda m, w: F.greatest(m, F.char_length(w))), F.lit(0)).cast("double"),
+        "lines": part(number("\n"), n),
     }
 
 
 STATISTICS = [
-    "log_words", "word_length", "symbols", "bars", "shouts", "stops", "digits", "capitals", "distinct", "lines", "longest",
+    "log_words", "word_length", "symbols", "bars", "shouts", "stops", "digits", "capitals", "distinct", "lines",
 ]
 
 
@@ -80,7 +90,9 @@ def _name(statistic: str) -> str:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({_name(c): v for c, v in statistics(F.col("text")).items()})
+    words, marks = fresh_name(docs, "text_words"), fresh_name(docs, "text_marks")
+    once = docs.withColumns({words: split_words(F.col("text")), marks: classed(F.col("text"))})
+    return once.withColumns({_name(c): v for c, v in statistics(F.col(marks), F.col(words)).items()}).drop(words, marks)
 
 
 def is_held_out(doc_id: Column) -> Column:
