@@ -83,7 +83,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
                 counter.append(len(part))
             s = np.concatenate([best_s, _products(x[part], q[i])])
             v = np.concatenate([best_x, ids[part]])
-            top = np.lexsort((v, ~s))  # ~s falls as s rises, without overflow[:k]
+            top = np.lexsort((v, ~s))[:k]  # ~s falls as s rises, without overflow
             best_s, best_x = s[top], v[top]
         out_q.append(np.full(len(best_s), qid[i]))
         out_x.append(best_x)
