@@ -103,7 +103,7 @@ def parse_unquoted(spark, sf_dir):
 
 
 def _parsed_unquoted(spark, sf_dir):
-    values = fixtures.field_values(fixtures.lineitem(spark, sf_dir)).where("fmt <> 'bad'")
+    values = fixtures.field_values(fixtures.lineitem(spark, sf_dir))
     return parse.parse_lines(values.select(fixtures.unquoted_line().alias("value")), layout="unquoted")
 
 
@@ -119,6 +119,22 @@ def reject_reasons(spark, sf_dir):
     return records.groupBy("record_format", "reject_reason").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query
+def record_accounting(spark, sf_dir):
+    """Every line that goes in comes out: accepted, or with the reason of its refusal."""
+    made = fixtures.lineitem(spark, sf_dir).where("l_linenumber = 1").select(
+        F.when(F.col("l_orderkey") % 3 == 0, '{"message": " \\n "}').when(F.col("l_orderkey") % 3 == 1, '{"a": "fatal error, but no access record at all, only long"}')
+        .otherwise("***").alias("data")
+    )
+    sent = _lines(spark, sf_dir).select("value").unionByName(made.where("data <> '***'").withColumnRenamed("data", "value"))
+    encoded = sent.select(F.base64(F.col("value").cast("binary")).alias("data")).unionByName(made.where("data = '***'"))
+    decoded = parse.decode_payload(encoded)
+    refused = decoded.where("reject_reason is not null").select("reject_reason")
+    records = parse.parse_lines(decoded.where("reject_reason is null").select("value")).select("reject_reason").unionByName(refused)
+    return records.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("records"))
+
+
+# The fields whose null rules differ.
 NULLABLE = [
     "usuario_autenticado", "identidad", "referer", "user_agent", "edad_cache",
     "content_type", "campo_reservado_1", "campo_reservado_2",
@@ -158,7 +174,7 @@ def line_carrier(spark, sf_dir):
 
 @query
 def adjacent_json_split(spark, sf_dir):
-    values = fixtures.field_values(fixtures.lineitem(spark, sf_dir)).where("fmt <> 'bad'")
+    values = fixtures.field_values(fixtures.lineitem(spark, sf_dir))
     twice = values.select(F.concat(fixtures.json_line(), fixtures.bridge_json_line()).alias("value"))
     return parse.accepted(parse.parse_lines(parse.split_adjacent_objects(twice))).select(*FIELDS)
 
@@ -407,6 +423,17 @@ def alert_records_faithful(spark, sf_dir):
     return _flat_alerts(found)
 
 
+@query
+def alert_generic(spark, sf_dir):
+    """Documents as service log lines, every other one as JSON whose key is a keyword itself: only values count."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    as_json = F.to_json(F.struct(F.col("text").alias("error")))
+    lines = documents.select(F.when(F.col("doc_id") % 2 == 0, as_json).otherwise(F.col("text")).alias("value"))
+    found = alerts.alert_records(lines).where("log_type = 'f5_generic_error'")
+    keywords = F.concat_ws(",", "parsed_data.detected_keywords").alias("detected_keywords")
+    return found.groupBy(keywords).agg(F.count(F.lit(1)).alias("records"))
+
+
 @query
 def stream_metrics_flagged(spark, sf_dir):
     return alerts.pool_metrics(alerts.flagged_requests(alerts.alert_records(_lines(spark, sf_dir))))
@@ -476,9 +503,9 @@ def alarm_transitions(spark, sf_dir):
 @query
 def log_message_filters(spark, sf_dir):
     events = _events(spark, sf_dir).select(F.col("event_type").alias("level"), F.col("props").alias("message"))
-    found = [("level", filters.log_level(events, "error")), ("message", filters.message_like(events, "9"))]
-    counts = [df.agg(F.lit(name).alias("filter"), F.count(F.lit(1)).alias("records")) for name, df in found]
-    return counts[0].unionByName(counts[1])
+    level, word = filters.is_level("error"), filters.holds_word("9")
+    counts = events.agg(F.count_if(level).alias("level"), F.count_if(word).alias("message"), F.count_if(level & word).alias("both"))
+    return counts.unpivot([], ["level", "message", "both"], "filter", "records")
 
 
 # -- quality -----------------------------------------------------------------------------
@@ -569,7 +596,7 @@ def append_roundtrip(spark, sf_dir):
 def dynamic_overwrite(spark, sf_dir):
     """Writing one day again replaces that day and keeps the others."""
     folder = _stored(spark, sf_dir)
-    writers.write_requests(_requests(spark, sf_dir).where("day = 9"), folder)
+    writers.write_requests(_requests(spark, sf_dir).where("day = 9"), folder, mode="overwrite")
     return _sizes(readers.read_requests(spark, folder), "day")
 
 
@@ -581,7 +608,7 @@ def catalog_table(spark, sf_dir):
     writers.write_requests(requests.where("day <= 9"), folder)
     name = "requests_" + folder.rpartition("-")[2]
     writers.create_table(spark, name, folder)
-    writers.append_requests(requests.where("day between 10 and 21"), folder)
+    writers.append_requests(requests.where("day >= 10"), folder)
     writers.refresh_table(spark, name)
     return spark.sql(
         f"select entorno_nodo, count(*) as records, sum(tamano_respuesta) as bytes from {name}"

@@ -39,10 +39,10 @@ GROK_TOKENS = {
     "WORD": r"\b\w+\b",
     "INT": r"(?:[+-]?(?:[0-9]+))",
     "DATA": r".*?",
-    "HOSTNAME": r"\b(?:[0-9A-Za-z][0-9A-Za-z-]{0,62})(?:\.(?:[0-9A-Za-z][0-9A-Za-z-]{0,62}))*(?:\.?|\b)",
+    "HOSTNAME": r"\b(?:[0-9A-Za-z][0-9A-Za-z-]{0,62})(?:\.(?:[0-9A-Za-z][0-9A-Za-z-]{0,62}))*+(?:\.?|\b)",
     "IP": r"(?<![0-9])(?:(?:25[0-5]|2[0-4][0-9]|[0-1]?[0-9]{1,2})\.){3}"
     r"(?:25[0-5]|2[0-4][0-9]|[0-1]?[0-9]{1,2})(?![0-9])",
-    "QUOTEDSTRING": r'"(?:\\.|[^\\"])*"',
+    "QUOTEDSTRING": r'"(?:[^\\"]++|\\.)*+"',  # possessive: a long field takes no stack
     "SYSLOG_TIME": r"\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}",
     "AUTH": r'-|"[^"]*"',
 }

@@ -18,7 +18,8 @@ def alert_records(lines: DataFrame, column: str = "value", layout: str = "tolera
                   faithful_keywords: bool = False) -> DataFrame:
     """Requests with a 4xx/5xx code, a slow or a large response, and other lines with an error keyword.
 
-    Envelopes are unwrapped first. A JSON record is judged by its fields. With
+    Envelopes are unwrapped first. A JSON record is judged by its fields; in a JSON
+    object that is no access record the values are searched, not the key names. With
     ``faithful_keywords`` it is searched for keywords as text instead, as the
     existing filter does, so that a key such as ``is_error`` flags it.
     """
@@ -29,13 +30,17 @@ def alert_records(lines: DataFrame, column: str = "value", layout: str = "tolera
         has_fields = has_fields & (F.col("record_format") == "text")
         searched = ~has_fields
     else:
-        searched = ~has_fields & (F.col("record_format") != "json")
+        searched = ~has_fields
     numbers = {n: F.col(n).try_cast(t) for n, t in NUMERIC_TYPES.items()}
     code, time_ms, size = (
         numbers["codigo_respuesta"], numbers["tiempo_respuesta_ms"], numbers["tamano_respuesta"]
     )
     by_fields = has_fields & classify.needs_alert(code, time_ms, size)
-    keywords = F.when(searched, classify.detected_keywords(F.col("line")))
+    text = F.col("line")
+    if not faithful_keywords:
+        values = F.array_join(F.map_values(F.from_json("line", "map<string,string>")), "\n")
+        text = F.when(F.col("record_format") == "json", values).otherwise(text)
+    keywords = F.when(searched, classify.detected_keywords(text))
     judged = raw.select(
         *kept,
         F.col("line").alias("original_log"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,11 +41,24 @@ def errors(df: DataFrame) -> DataFrame:
     return df.where("is_error")
 
 
+def is_level(level: str = "ERROR", column: str = "level") -> Column:
+    return F.col(column) == level
+
+
+def holds_word(word: str = "FAILED", column: str = "message") -> Column:
+    return F.contains(F.col(column), F.lit(word))
+
+
 def log_level(df: DataFrame, level: str = "ERROR", column: str = "level") -> DataFrame:
     """Service log records of one level."""
-    return df.where(F.col(column) == level)
+    return df.where(is_level(level, column))
 
 
 def message_like(df: DataFrame, word: str = "FAILED", column: str = "message") -> DataFrame:
     """Service log records whose message holds a word, as in ``*FAILED*``."""
-    return df.where(F.contains(F.col(column), F.lit(word)))
+    return df.where(holds_word(word, column))
+
+
+def level_and_word(df: DataFrame, level: str = "ERROR", word: str = "FAILED") -> DataFrame:
+    """Service log records of one level whose message holds a word."""
+    return df.where(is_level(level) & holds_word(word))

@@ -89,22 +89,28 @@ def split_adjacent_objects(df: DataFrame, column: str = "value") -> DataFrame:
 
 
 def decode_payload(df: DataFrame, column: str = "data") -> DataFrame:
-    """Base64, gzip if marked so, UTF-8; rows that cannot be decoded are left out."""
+    """Base64, gzip if marked so, UTF-8.
+
+    A row that cannot be decoded has a null ``value``, keeps its encoded text and has the ``reject_reason``
+    ``undecodable``, so that it can go to quarantine.
+    """
     raw = df.withColumn("_bytes", payload.raw_bytes(F.col(column)))
     plain = raw.withColumn(
         "_bytes",
         F.when(payload.is_gzip(F.col("_bytes")), payload.gunzip(F.when(payload.is_gzip(F.col("_bytes")), F.col("_bytes"))))
         .otherwise(F.col("_bytes")),
     )
-    return plain.withColumn("value", payload.utf8_text(F.col("_bytes"))).drop("_bytes").where("value is not null")
+    decoded = plain.withColumn("value", payload.utf8_text(F.col("_bytes"))).drop("_bytes")
+    return decoded.withColumn("reject_reason", F.when(F.col("value").isNull(), "undecodable"))
 
 
 def unwrap_envelope(df: DataFrame, column: str = "value") -> DataFrame:
-    """Take the ``message`` out of JSON envelopes, then one row per non-blank line."""
+    """Take the ``message`` out of JSON envelopes, then one row per non-blank line; an empty envelope stays as it is."""
     text = cleaning.strip(F.col(column))
     message = F.when(F.startswith(text, F.lit("{")), parsed_json(text)["message"])
     pieces = F.split(F.coalesce(message, text), "\n")
-    return df.withColumn(column, F.explode(F.filter(F.transform(pieces, cleaning.strip), lambda one: one != "")))
+    inner = F.filter(F.transform(pieces, cleaning.strip), lambda one: one != "")
+    return df.withColumn(column, F.explode(F.when(message.isNotNull() & (F.size(inner) == 0), F.array(text)).otherwise(inner)))
 
 
 def _missing_key(line: Column, record: Column) -> Column:
@@ -148,11 +154,13 @@ def raw_records(
         df = df.select(*kept, "line", only_object(F.col("outer.items")).alias("outer"))
         message = F.col("outer.message")
         inner = F.filter(F.transform(F.split(message, "\n"), cleaning.strip), lambda one: one != "")
+        blank = F.coalesce(F.size(inner) == 0, F.lit(False)) & message.isNotNull()
         df = df.select(
             *kept,
             F.when(message.isNull(), F.col("outer")).alias("outer"),
             message.isNotNull().alias("wrapped"),
-            F.explode(F.when(message.isNotNull(), inner).otherwise(F.array("line"))).alias("line"),
+            blank.alias("blank"),
+            F.explode(F.when(message.isNotNull() & ~blank, inner).otherwise(F.array("line"))).alias("line"),
         )
         items = F.when(F.col("wrapped"), items)
     df = df.select(
@@ -162,6 +170,7 @@ def raw_records(
     df = df.select(
         *kept,
         "line",
+        (F.col("blank") if unwrap else F.lit(False)).alias("blank"),
         (F.coalesce(F.col("outer"), inside) if unwrap else inside).alias("record"),
         patterns.checked(F.col("raw.parts"), line, chosen).alias("parts"),
     )
@@ -170,7 +179,8 @@ def raw_records(
         F.when(record.isNotNull(), "json").when(line.rlike(patterns.SYSLOG_PREFIX), "text").otherwise("unknown")
     )
     reason = (
-        F.when(F.length("line") <= min_length, "too_short")
+        F.when(F.col("blank"), "empty_message")
+        .when(F.length("line") <= min_length, "too_short")
         .when(record.isNotNull(), F.when(_missing_key(line, record), "missing_keys"))
         .when(parts.isNotNull(), F.lit(None).cast("string"))
         .when(line.rlike(patterns.SYSLOG_PREFIX), "no_pattern_match")

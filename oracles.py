@@ -143,7 +143,7 @@ def statements() -> dict[str, str]:
         """ select timestamp_syslog, ip_cliente_externo, recurso, code as codigo_respuesta, size as tamano_respuesta,
         ms as tiempo_respuesta_ms, case when edad_cache = '120' then '120' else '0' end as edad_cache,
         code >= 400 as is_error, ms > 1000 as is_slow, l_orderkey%4 = 0 as is_mobile, edad_cache = '120' as cache_hit
-        from rec where fmt <> 'bad'"""
+        from rec"""
     )
     q["detect_format"] = _sql(
         """ select case when fmt in ('json','json_old','envelope') then 'json' when fmt = 'bad' then 'unknown'
@@ -170,7 +170,7 @@ def statements() -> dict[str, str]:
     q["envelope_unwrap"] = _sql(" select line as value from lines where fmt in ('text','envelope')")
     q["line_carrier"] = _sql(" select line as value from lines")
     q["adjacent_json_split"] = _sql(
-        _fields("rec", "where fmt <> 'bad'") + " union all " + _fields("rec", "where fmt <> 'bad'")
+        _fields("rec", "") + " union all " + _fields("rec", "")
     )
     q["syslog_timestamp"] = _sql(
         """ select timestamp_syslog, ts - interval 1 year as in_2024, ts as in_request_year, count(*) as records
@@ -245,6 +245,13 @@ def statements() -> dict[str, str]:
         for k in ("ERROR", "CRITICAL", "FATAL", "EXCEPTION", "FAILED")
     )
     q["keyword_detection"] = f"select doc_id, concat_ws(',', {keywords}) as detected_keywords from documents"
+    q["alert_generic"] = f"""select * from (select concat_ws(',', {keywords}) as detected_keywords, count(*) as records
+        from documents group by 1) where detected_keywords <> ''"""
+    q["record_accounting"] = _sql(
+        """ select case when fmt = 'bad' then 'unknown_format' else 'accepted' end as outcome, count(*) as records from rec group by 1
+        union all select case l_orderkey % 3 when 0 then 'empty_message' when 1 then 'missing_keys' else 'undecodable' end, count(*)
+        from lineitem where l_linenumber = 1 group by 1"""
+    )
 
     # reports
     q["error_analysis"] = _sql(
@@ -564,7 +571,7 @@ def statements() -> dict[str, str]:
         " select day, count(*) as records, sum(size)::bigint as bytes from ok group by 1"
     )
     q["catalog_table"] = _sql(
-        " select entorno_nodo, count(*) as records, sum(size)::bigint as bytes from ok where day <= 21 group by 1"
+        " select entorno_nodo, count(*) as records, sum(size)::bigint as bytes from ok group by 1"
     )
     q["quarantine"] = _sql(
         """ select case fmt when 'envelope' then 'missing_keys' else 'unknown_format' end as reject_reason,
@@ -590,5 +597,6 @@ def statements() -> dict[str, str]:
     )
     q["result_export"] = q["request_summary"]
     q["log_message_filters"] = """select 'level' as filter, count(*) as records from events where event_type = 'error'
-        union all select 'message', count(*) from events where contains(props, '9')"""
+        union all select 'message', count(*) from events where contains(props, '9')
+        union all select 'both', count(*) from events where event_type = 'error' and contains(props, '9')"""
     return q

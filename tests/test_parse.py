@@ -237,7 +237,24 @@ def test_payloads(spark, line):
     text = line.encode()
     sent = [encode(text), encode(gzip.compress(text)), "%%%", encode(b"\x1f\x8bbroken"), encode(b"\xff\xfe\xfa"), None]
     df = spark.createDataFrame([(s,) for s in sent], "data string")
-    assert [r.value for r in parse.decode_payload(df).collect()] == [line, line]
+    found = parse.decode_payload(df).collect()
+    assert [r.value for r in found] == [line, line, None, None, None, None]
+    assert [r.data for r in found] == sent and [r.reject_reason for r in found] == [None, None] + ["undecodable"] * 4
+
+
+def test_every_line_is_accounted_for(lines, line):
+    sent = ['{"message": ""}', '{"message": " \\n "}', '{"a": "no access record, but long enough to be one"}', "short", "x" * 60, line]
+    found = [r.reject_reason for r in parse.parse_lines(lines(*sent)).collect()]
+    assert found == ["empty_message", "empty_message", "missing_keys", "too_short", "unknown_format", None]
+    assert parse.unwrap_envelope(lines(*sent)).count() == len(sent)
+
+
+def test_very_long_fields(lines, line):
+    long = "a" * 100_000
+    text = line.replace('"-"', f'"{long}"').replace("Mozilla/5.0", f"Mozilla/5.0 {long}")
+    for layout in ("tolerant", "grok"):
+        row = parse.parse_lines(lines(text), layout=layout).first()
+        assert row.reject_reason is None and row.referer == long and long in row.user_agent
 
 
 def test_legacy_pipeline_accepts_all_shapes(spark, line, fields):

@@ -42,7 +42,7 @@ def test_roundtrip_and_schema(spark, table):
 def test_overwrite_modes(spark, table):
     path = new_folder(spark, "t")
     writers.write_requests(table, path)
-    writers.write_requests(table.where("day = 2"), path)
+    writers.write_requests(table.where("day = 2"), path, mode="overwrite")
     assert days(readers.read_requests(spark, path)) == [1, 2, 3, 10, 20]
     writers.append_requests(table.where("day = 2"), path)
     assert days(readers.read_requests(spark, path)) == [1, 2, 2, 3, 10, 20]
