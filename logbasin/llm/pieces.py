@@ -97,7 +97,8 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
-        self.base: dict[str, int] = {}
+        self.number: dict[str, int] = {}  # of a chunk; its first and last node stand in begin and end
+        self.begin = self.end = np.zeros(0, np.int64)
         self.nodes = 0
         self.first = np.zeros(1 << 16, np.int64)  # first edge of a node
         self.edges = 0
@@ -180,8 +181,9 @@ class Lattice:
         part = slice(self.edges, self.edges + len(piece))
         self.share[part] = np.minimum(cumulative, 1.0)
         self.length[part], self.piece[part] = length, piece
-        for c, s in zip(chunks, starts.tolist(), strict=True):
-            self.base[c] = self.nodes + s
+        self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks)), strict=True))
+        self.begin = np.concatenate([self.begin, self.nodes + starts])
+        self.end = np.concatenate([self.end, self.nodes + starts + sizes - 1])
         self.nodes += n
         self.edges += len(piece)
         self.first[self.nodes] = self.edges
@@ -190,12 +192,11 @@ class Lattice:
         """Pieces of all chunks in order, and how many each has. ``keys`` seed the chunks."""
         if self.nodes > CACHE_NODES:
             self.clear()
-        new = list({c for c in chunks if c not in self.base})
+        new = set(chunks).difference(self.number)
         if new:
-            new.sort()
-            self.add(new)
-        base = np.array([self.base[c] for c in chunks], np.int64)
-        node = base + np.array([len(c) for c in chunks], np.int64) - 1
+            self.add(sorted(new))
+        number = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        base, node = self.begin[number], self.end[number]
         live = np.arange(len(chunks))
         steps, step = [], 0
         while len(live):
@@ -213,12 +214,15 @@ class Lattice:
             more = node >= base[live]
             live, node = live[more], node[more]
             step += 1
-        owner = np.concatenate([s[0] for s in steps])
-        piece = np.concatenate([s[1] for s in steps])
-        number = np.repeat(np.arange(len(steps)), [len(s[0]) for s in steps])
-        order = np.lexsort((-number, owner))
-        owner, piece = owner[order], piece[order]
-        return self._bytes(owner, piece, len(chunks))
+        # Steps go from a chunk's end to its start: each piece has its place from behind.
+        counts = np.zeros(len(chunks), np.int64)
+        for live, _ in steps:
+            counts[live] += 1
+        ends = np.cumsum(counts)
+        piece = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        for step, (live, found) in enumerate(steps):
+            piece[ends[live] - 1 - step] = found
+        return self._bytes(np.repeat(np.arange(len(chunks)), counts), piece, len(chunks))
 
     def _bytes(self, owner: np.ndarray, piece: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Fallback characters as the ids of their bytes."""
@@ -281,8 +285,8 @@ def encode(docs: DataFrame, key: str = "doc_id", column: str = "ids", model: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(Vocabulary(model, alpha))
         for b in batches:
-            for i in range(0, len(b), 512):
-                part = b.slice(i, 512)
+            for i in range(0, len(b), 256):
+                part = b.slice(i, 256)
                 texts = part.column(names.index("text")).to_pylist()
                 seeds = part.column(names.index(hashed)).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
                 ids = sample_texts(lattice, texts, seeds)
@@ -305,8 +309,8 @@ def decode(encoded: DataFrame, column: str = "ids", to: str = "decoded", model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Vocabulary(model, 1.0).bytes
         for b in batches:
-            for i in range(0, len(b), 512):
-                part = b.slice(i, 512)
+            for i in range(0, len(b), 256):
+                part = b.slice(i, 256)
                 texts = [decode_ids(pieces, ids) for ids in part.column(names.index(column)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, to])
 
