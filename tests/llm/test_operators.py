@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,6 +332,22 @@ def test_pieces_follow_the_lattice():
     assert max(abs(drawn[w] / n - p) for w, p in zip(every, weight / weight.sum(), strict=True)) < 0.01
 
 
+def test_pieces_compare_chunks_and_decode_any_ids(monkeypatch):
+    vocabulary = pieces.Vocabulary(pieces.MODEL, 1.0)
+    texts, keys = ["a fine day\n\n", None, "", "a  fine dog 😀"] * 20, np.arange(80, dtype=np.uint64)
+    want = pieces.sample_texts(pieces.Lattice(vocabulary), texts, keys)
+    by_bytes = pa.array(pieces.piece_bytes(pieces.MODEL), pa.binary())
+    lists = pa.array([None if x is None else x.tolist() for x in want], pa.list_(pa.int32()))
+    assert pieces.decode_ids(by_bytes, lists).to_pylist() == texts
+    assert pieces.decode_ids(by_bytes, lists.slice(1, 2)).to_pylist() == [None, ""]
+    broken = int(vocabulary.byte_ids[0xF0])
+    assert pieces.decode_ids(by_bytes, pa.array([[broken]], pa.list_(pa.int32()))).to_pylist() == ["\ufffd"]
+    # All hashes alike: only the comparison of characters tells chunks apart.
+    monkeypatch.setattr(pieces, "chunk_hashes", lambda points, starts, sizes: np.ones(len(starts), np.uint64))
+    alike = pieces.sample_texts(pieces.Lattice(vocabulary), texts, keys)
+    assert all((a is None and b is None) or a.tolist() == b.tolist() for a, b in zip(want, alike, strict=True))
+
+
 # -- mixing ------------------------------------------------------------------------------------------------
 
 
