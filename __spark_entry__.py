@@ -7,7 +7,7 @@ from collections.abc import Callable
 from datetime import date, datetime, timedelta
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -447,7 +447,13 @@ def stream_metrics_all(spark, sf_dir):
 @query
 def windowed_pool_metrics(spark, sf_dir):
     requests = alerts.all_requests(_requests(spark, sf_dir), "parsed_timestamp_syslog")
-    return alerts.windowed_pool_metrics(requests, "parsed_timestamp_syslog", "6 hours")
+    return alerts.windowed_pool_metrics(requests, "parsed_timestamp_syslog")
+
+
+@query
+def windowed_health(spark, sf_dir):
+    requests = alerts.all_requests(_requests(spark, sf_dir), "parsed_timestamp_syslog")
+    return alerts.windowed_health(requests, "parsed_timestamp_syslog", "10 minutes")
 
 
 # -- alarms ------------------------------------------------------------------------------
@@ -477,9 +483,8 @@ def _windows(key: str, spark, sf_dir) -> DataFrame:
         return alarms.metric_windows(requests, time, alarm, F.avg("tiempo_respuesta_ms"))
     if key == "error_rate":
         return alarms.metric_windows(requests, time, alarm, F.count_if("is_error") * 100.0 / F.count(F.lit(1)))
-    metrics = alerts.windowed_pool_metrics(alerts.all_requests(requests, time), time, f"{alarm.period} seconds")
-    health = metrics.where("metric = 'PoolHealthScore'")
-    return health.groupBy("window_start").agg(F.avg("value").alias("value"))
+    health = alerts.windowed_health(alerts.all_requests(requests, time), time, f"{alarm.period} seconds")
+    return health.groupBy("window_start").agg(F.avg("PoolHealthScore").alias("value"))
 
 
 def _alarm(key: str) -> None:
@@ -494,6 +499,22 @@ for _key in alarms.ALARMS:
     _alarm(_key)
 
 
+def _alarm_by_pool(key: str, value: Callable[[], Column]) -> None:
+    """The alarm of every pool by itself."""
+    alarm, pool = alarms.ALARMS[key], ["ambiente_pool"]
+
+    def run(spark, sf_dir):
+        windows = alarms.metric_windows(_requests(spark, sf_dir), "parsed_timestamp_syslog", alarm, value(), pool)
+        return alarms.evaluate(windows, alarm, pool)
+
+    run.__name__ = f"alarm_{key}_by_pool"
+    query(run)
+
+
+_alarm_by_pool("response_time", lambda: F.avg("tiempo_respuesta_ms"))
+_alarm_by_pool("error_rate", lambda: F.count_if("is_error") * 100.0 / F.count(F.lit(1)))
+
+
 @query
 def alarm_transitions(spark, sf_dir):
     alarm = alarms.ALARMS["response_time"]
@@ -579,6 +600,17 @@ def partitioned_roundtrip(spark, sf_dir):
     return jobs.error_analysis(readers.read_requests(spark, _stored(spark, sf_dir)), **PERIOD)
 
 
+@query
+def etl_run(spark, sf_dir):
+    """One run over raw lines: what it counted on the way, and what lies in both outputs."""
+    folder = new_folder(spark, "run")
+    counts = etl.run(_lines(spark, sf_dir), f"{folder}/table", f"{folder}/errors", "1")
+    stored = readers.read_requests(spark, f"{folder}/table").select(F.lit(True).alias("good"))
+    errors = spark.read.schema("line string").json(f"{folder}/errors").select(F.lit(False).alias("good"))
+    both = stored.unionByName(errors).agg(F.count_if("good").alias("stored"), F.count_if(~F.col("good")).alias("quarantined"))
+    return both.select(*[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()], "stored", "quarantined")
+
+
 def _sizes(df, *keys):
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.sum("tamano_respuesta").alias("bytes"))
 
@@ -690,6 +722,23 @@ def stream_filter_available_now(spark, sf_dir):
     return _flat_alerts(spark.read.schema(schema).json(f"{folder}/alerts"))
 
 
+@query
+def stream_filter_encoded(spark, sf_dir):
+    """Base64 payloads, every other one gzip, from any source; the alerts are those of the plain lines."""
+    folder = new_folder(spark, "encoded")
+    plain = F.col("value").cast("binary")
+    data = F.when(F.crc32(plain) % 2 == 0, fixtures.gzipped(plain)).otherwise(plain)
+    _lines(spark, sf_dir).select(F.translate(F.base64(data), "\r\n", "").alias("value")).write.text(f"{folder}/raw")
+    _finished(
+        streams.filter_alerts(
+            readers.stream_from(spark, "text", path=f"{folder}/raw"), f"{folder}/alerts", f"{folder}/state",
+            streams.AVAILABLE_NOW, rejects_path=f"{folder}/errors",
+        )
+    )
+    schema = alerts.alert_records(_lines(spark, sf_dir)).schema
+    return _flat_alerts(spark.read.schema(schema).json(f"{folder}/alerts"))
+
+
 @query
 def stream_batch_metrics(spark, sf_dir):
     folder = new_folder(spark, "metrics")
@@ -735,15 +784,14 @@ def incremental_ingest(spark, sf_dir):
 
 @query
 def stream_window_metrics(spark, sf_dir):
-    """Windows a stream has closed; the last ones stay open until later data arrives."""
+    """The newest state of every window, those still open included."""
     folder = new_folder(spark, "windows")
     _finished(
         streams.window_metrics(
-            _line_stream(spark, sf_dir), f"{folder}/metrics", f"{folder}/state", streams.AVAILABLE_NOW,
-            period="6 hours",
+            _line_stream(spark, sf_dir), f"{folder}/metrics", f"{folder}/state", streams.AVAILABLE_NOW
         )
     )
-    return spark.read.parquet(f"{folder}/metrics")
+    return readers.read_window_metrics(spark, f"{folder}/metrics")
 
 
 # -- contract ----------------------------------------------------------------------------

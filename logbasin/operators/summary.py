@@ -86,16 +86,18 @@ def summarize(
         F.col(value).alias("_v"),
         *[m.column.alias(f"_in_{n}") for n, m in measures.items()],
     )
-    inputs = {n: Measure(m.kind, F.col(f"_in_{n}")) for n, m in measures.items()}
-    parts = [F.count(F.lit(1)).alias("_n"), *[m.of_rows().alias(n) for n, m in inputs.items()]]
+    inputs = {n: F.col(f"_in_{n}") for n in measures}
     if sets:
-        # Every row once with its value and once with each distinct column.
-        pairs = rows.groupingSets([[*keys, "_v"], *[[*keys, s] for s in sets]], *keys, "_v", *sets).agg(
-            *parts, F.grouping_id().alias("_gid")
-        )
+        # Every row once with its value and once with each distinct column. Only the first carries the measures: a
+        # distinct row is its key, one value and nulls.
         width = len(sets)
         has_value = 2**width - 1
         is_value = F.col("_gid") == has_value
+        carried = [Measure(m.kind, F.when(F.grouping_id() == has_value, inputs[n])).of_rows().alias(n) for n, m in measures.items()]
+        number = F.count(F.when(F.grouping_id() == has_value, 1)).alias("_n")
+        pairs = rows.groupingSets([[*keys, "_v"], *[[*keys, s] for s in sets]], *keys, "_v", *sets).agg(
+            number, *carried, F.grouping_id().alias("_gid")
+        )
         seen = [
             F.sum(
                 F.when((F.col("_gid") == 2 ** (width + 1) - 1 - 2 ** (width - 1 - i)) & F.col(s).isNotNull(), 1)
@@ -109,7 +111,8 @@ def summarize(
             F.sum(F.when(is_value, F.col("_n"))).alias("_n"), *merged, *seen
         )
     else:
-        histogram = rows.groupBy(*keys, "_v").agg(*parts)
+        parts = [Measure(m.kind, inputs[n]).of_rows().alias(n) for n, m in measures.items()]
+        histogram = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"), *parts)
     counted = F.when(F.col("_v").isNotNull(), F.col("_n"))
     by_key = Window.partitionBy(*keys)
     upto = by_key.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logbasin.functions import classify
 from logbasin.operators import enrich, parse
 from logbasin.schema import OTHER_NAMES
+from logbasin.session import new_folder
+from logbasin.sources import writers
 
 
 def requests(lines: DataFrame, **options) -> DataFrame:
@@ -22,7 +24,7 @@ def classified_records(lines: DataFrame, **options) -> DataFrame:
     return records.withColumn("needs_alert", flag)
 
 
-def observed(records: DataFrame, name: str = "ingest") -> DataFrame:
+def observed(records: DataFrame, name: str | Observation = "ingest") -> DataFrame:
     """Count what passes through while it is written, without a second read (see ``Observation``)."""
     ok = F.col("reject_reason").isNull()
     return records.observe(
@@ -35,6 +37,25 @@ def observed(records: DataFrame, name: str = "ingest") -> DataFrame:
     )
 
 
+def run(lines: DataFrame, table: str, rejects: str, run_id: str, **options) -> dict[str, int]:
+    """Parse once, store accepted and rejected records, and return the counts taken on the way.
+
+    The parsed records are staged in the shared folder by outcome; both outputs are
+    read from there. Rejects go under the run's own folder, which a retry replaces;
+    the append to the table comes last and is committed as one job, so a run that
+    failed at any step can be repeated. Stored hours keep their earlier rows.
+    """
+    spark, staged, seen = lines.sparkSession, new_folder(lines.sparkSession, "parsed"), Observation()
+    outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
+    records = observed(parse.parse_lines(lines, **options), seen).withColumn("outcome", outcome)
+    records.write.partitionBy("outcome").parquet(staged)
+    stored = spark.read.schema(records.schema).parquet(staged)
+    refused = parse.rejected(stored.where("outcome = 'rejected'"))
+    writers.write_rejects(refused, f"{rejects}/run={run_id}", mode="overwrite")
+    writers.append_requests(enrich.request_table(parse.accepted(stored.where("outcome = 'accepted'"))), table)
+    return seen.get
+
+
 def to_second_vocabulary(df: DataFrame) -> DataFrame:
     names = {**OTHER_NAMES, "parsed_timestamp_apache": "parsed_timestamp_rp"}
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logbasin.schema import json_record_schema, table_schema
 
@@ -34,16 +35,24 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None,
-                 bytes_per_batch: str | None = None) -> DataFrame:
-    """New lines below a prefix as a stream."""
+                 bytes_per_batch: int | None = 10 << 30) -> DataFrame:
+    """New lines below a prefix as a stream. A backlog is read in several batches; files per batch take precedence."""
     reader = spark.readStream.option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if bytes_per_batch:
+    elif bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.text(path)
 
 
+def read_window_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """What the windowed stream has written: of each window its newest state, open windows included."""
+    written = spark.read.parquet(path)
+    keys = [c for c in written.columns if c not in ("value", "unit", "batch")]
+    newest = F.max_by(F.struct("value", "unit"), "batch").alias("newest")
+    return written.groupBy(*keys).agg(newest).select(*keys, "newest.value", "newest.unit")
+
+
 def stream_from(spark: SparkSession, source: str, value: str = "value", **options: str) -> DataFrame:
     """A stream from any installed source, such as Kafka; its payload becomes ``data`` as text."""
     df = spark.readStream.format(source).options(**options).load()

@@ -391,6 +391,12 @@ def statements() -> dict[str, str]:
     q["etl_format_stats_unwrapped"] = _sql(
         formats.format(json="'json','json_old'", text="'text','envelope'", lost="'bad'", errors="'none'")
     )
+    q["etl_run"] = _sql(
+        """ select count(*) as total_records, count(*) filter (fmt in ('json','json_old')) as json_records,
+        count(*) filter (fmt in ('text','envelope')) as text_records, count(*) filter (fmt <> 'bad') as parsed_successfully,
+        count(*) filter (fmt = 'bad') as rejected, count(*) filter (fmt <> 'bad') as stored,
+        count(*) filter (fmt = 'bad') as quarantined from rec"""
+    )
     flagged = "(code >= 400 or ms > 5000 or size > 10485760)"
     q["volume_metrics"] = _sql(
         f""" select count(*) as logs_processed, count(*) filter (fmt <> 'bad' and {flagged}) as error_logs_filtered,
@@ -430,11 +436,11 @@ def statements() -> dict[str, str]:
         union all select F5Environment, Pool, VirtualServer, 'PoolHealthScore', round(h, 6), 'Percent' from wide"""
     q["stream_metrics_flagged"] = _sql(metrics.format(where=f"where {flagged}"))
     q["stream_metrics_all"] = _sql(metrics.format(where=""))
-    windowed = """, agg as (select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as window_start,
+    windowed = """, agg as (select time_bucket(interval '5 minutes', ts, timestamp '1970-01-01') as window_start,
         entorno_nodo as F5Environment, ambiente_pool as Pool, ambiente_origen as VirtualServer,
-        count(*) as n, avg(ms) as a, quantile_disc(ms, 0.95) as p, count(*) filter (code >= 400) * 100.0::double
+        count(*) as n, avg(ms) as a, {p95} as p, count(*) filter (code >= 400) * 100.0::double
         / count(*) as e, count(*) filter (ms > 5000) * 100.0::double / count(*) as s from ok group by 1, 2, 3, 4),
-        wide as (select *, window_start + interval 6 hours as window_end, greatest(0, 100 - e - s / 2) as h from agg)"""
+        wide as (select *, window_start + interval 5 minutes as window_end, greatest(0, 100 - e - s / 2) as h from agg)"""
     for i, (name, expression, unit) in enumerate(
         (("RequestCount", "cast(n as double)", "Count"), ("AverageResponseTime", "round(a, 6)", "Milliseconds"),
          ("P95ResponseTime", "cast(p as double)", "Milliseconds"), ("ErrorRate", "round(e, 6)", "Percent"),
@@ -442,10 +448,18 @@ def statements() -> dict[str, str]:
     ):
         windowed += (" union all" if i else "") + f""" select window_start, window_end, F5Environment, Pool,
         VirtualServer, '{name}' as metric, {expression} as value, '{unit}' as unit from wide"""
-    q["windowed_pool_metrics"] = _sql(windowed)
-    # A stream has closed the windows that end before its latest time less ten minutes.
-    closed = "where window_end <= (select max(ts) from ok) - interval 10 minutes"
-    q["stream_window_metrics"] = _sql(windowed.replace("from wide", f"from wide {closed}"))
+    nearest = "list_sort(list(ms))[least(count(*), (95 * count(*)) // 100 + 1)]"
+    q["windowed_pool_metrics"] = _sql(windowed.replace("{p95}", nearest))
+    # A stream takes the smallest value with at least 95 % at or below it.
+    q["stream_window_metrics"] = _sql(windowed.replace("{p95}", "quantile_disc(ms, 0.95)"))
+    q["stream_filter_encoded"] = q["alert_records"]
+    q["windowed_health"] = _sql(
+        f""" select *, window_start + interval 10 minutes as window_end from (select
+        time_bucket(interval '10 minutes', ts, timestamp '1970-01-01') as window_start, entorno_nodo as F5Environment,
+        ambiente_pool as Pool, ambiente_origen as VirtualServer,
+        round(greatest(0, 100 - {_rate('is_error')} - {_rate('is_slow')} / 2), 6) as PoolHealthScore
+        from ok group by 1, 2, 3, 4)"""
+    )
 
     # alarms
     def alarm(windows: str, period: int, n: int, breach: str, missing: str = "false") -> str:
@@ -479,6 +493,12 @@ def statements() -> dict[str, str]:
     }
     for name, (windows, period, n, breach) in of.items():
         q[name] = _sql(" select * from result", alarm(windows, period, n, breach))
+    for name in ("alarm_response_time", "alarm_error_rate"):
+        windows, period, n, breach = of[name]
+        each = alarm(windows.replace("as window_start,", "as window_start, ambiente_pool,").replace("group by 1", "group by 1, 2"),
+                     period, n, breach)
+        each = each.replace("over (order by", "over (partition by ambiente_pool order by")
+        q[f"{name}_by_pool"] = _sql(" select * from result", each.replace("(select window_start, round", "(select window_start, ambiente_pool, round"))
     windows, period, n, breach = of["alarm_response_time"]
     q["alarm_transitions"] = _sql(
         """ select 'Average-Response-Time' as alarm_name, 'Responses are slow' as alarm_description, old_state,

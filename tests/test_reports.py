@@ -231,3 +231,13 @@ def test_groups_without_any_time(spark):
         "*", "cast(null as bigint) as tamano_respuesta", "'c' as ip_cliente_externo")
     row = jobs.pool_health_monitoring(table).collect()[0]
     assert (row.total_requests, row.avg_response_time_ms, row.p95_response_time_ms) == (12, None, None)
+
+
+def test_distinct_rows_carry_no_measures(spark):
+    df = spark.range(1000).selectExpr("id % 3 as k", "id % 7 as v", "id % 11 as a", "id % 13 as b", "id as m")
+    out = summarize(df, ["k"], "v", {"p": 50}, {"s": total(F.col("m")), "n": filled(F.col("m"))}, {"da": "a", "db": "b"})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and "sum(CASE WHEN (spark_grouping_id" in plan
+    got = {r.k: (r.rows, r.s, r.n, r.da, r.db) for r in out.collect()}
+    want = {k: (len(ids := range(k, 1000, 3)), sum(ids), len(ids), 11, 13) for k in range(3)}
+    assert got == want

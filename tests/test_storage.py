@@ -143,9 +143,39 @@ def test_landing_keeps_every_line(spark, lines, line):
     assert sorted(r.value for r in readers.read_lines(spark, f"{root}/raw").collect()) == sorted([line, "anything"])
 
 
+def test_encoded_payloads_are_filtered_and_the_bad_ones_kept(spark, lines, line):
+    root = new_folder(spark, "encoded")
+    df = lines(line, line.replace("Time 4213", "Time 9000"), "a FATAL thing")
+    encoded = F.translate(F.base64(F.col("value").cast("binary")), "\r\n", "")
+    df.select(encoded.alias("value")).union(lines("***")).write.text(f"{root}/raw")
+    source = readers.stream_from(spark, "text", path=f"{root}/raw")
+    with pytest.raises(ValueError):
+        streams.filter_alerts(source, f"{root}/alerts", f"{root}/state")
+    run(streams.filter_alerts(source, f"{root}/alerts", f"{root}/state", streams.AVAILABLE_NOW, rejects_path=f"{root}/errors"))
+    batch = alerts.alert_records(df)
+    stored = spark.read.schema(batch.schema).json(f"{root}/alerts")
+    assert sorted(r.original_log for r in stored.collect()) == sorted(r.original_log for r in batch.collect())
+    assert [(r.line, r.reject_reason) for r in spark.read.json(f"{root}/errors").collect()] == [("***", "undecodable")]
+    run(streams.ingest(source, f"{root}/table", f"{root}/bad", f"{root}/state2", streams.AVAILABLE_NOW))
+    assert spark.read.parquet(f"{root}/table").count() == 2 and spark.read.json(f"{root}/bad").count() == 2
+
+
+def test_one_run_stores_both_outcomes_and_late_rows_erase_nothing(spark, lines, line):
+    root = new_folder(spark, "run")
+    first = etl.run(lines(at(line, 8), at(line, 9), "z" * 80), f"{root}/table", f"{root}/errors", "a")
+    assert first == {"total_records": 3, "json_records": 0, "text_records": 2, "parsed_successfully": 2, "rejected": 1}
+    etl.run(lines(at(line, 8).replace("Time 4213", "Time 5")), f"{root}/table", f"{root}/errors", "b")
+    table = readers.read_requests(spark, f"{root}/table")
+    assert sorted(r.day for r in table.collect()) == [8, 8, 9] or sorted(str(r.day) for r in table.collect()) == ["08", "08", "09"]
+    # A repeated run replaces its own quarantine.
+    etl.run(lines("y" * 80), f"{root}/table", f"{root}/errors", "a")
+    assert [r.line for r in spark.read.json(f"{root}/errors").collect()] == ["y" * 80] and table.count() == 3
+    assert etl.run(lines(), f"{root}/table", f"{root}/errors", "c")["total_records"] == 0
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/Montevideo"])
 def test_streamed_windows_equal_the_batch(spark, lines, line, zone):
-    """All windows but those the watermark has not closed."""
+    """All windows, those too that the watermark has not closed, in their newest state."""
     root = new_folder(spark, "windows")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
@@ -155,8 +185,13 @@ def test_streamed_windows_equal_the_batch(spark, lines, line, zone):
                                    streams.AVAILABLE_NOW))
         requests = alerts.all_requests(etl.requests(df), "parsed_timestamp_syslog")
         batch = alerts.windowed_pool_metrics(requests, "parsed_timestamp_syslog")
-        closed = batch.where(F.col("window_end") < F.lit(datetime(2025, 8, 8, 23)).cast("timestamp_ntz"))
-        stored = spark.read.parquet(f"{root}/out").select(*batch.columns)
-        assert sorted(map(str, stored.collect())) == sorted(map(str, closed.collect())) and stored.count() == 10
+        stored = readers.read_window_metrics(spark, f"{root}/out").select(*batch.columns)
+        assert sorted(map(str, stored.collect())) == sorted(map(str, batch.collect())) and stored.count() == 15
+        # Another row of an open window: its state changes, the others stay.
+        lines(at(line, 8, "23")).write.mode("append").text(f"{root}/raw")
+        run(streams.window_metrics(readers.stream_lines(spark, f"{root}/raw"), f"{root}/out", f"{root}/state",
+                                   streams.AVAILABLE_NOW))
+        counts = readers.read_window_metrics(spark, f"{root}/out").where("metric = 'RequestCount'")
+        assert sorted(r.value for r in counts.collect()) == [1, 2, 2]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
