@@ -132,4 +132,7 @@ def filter_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     measured = stage(with_statistics(docs.select("doc_id", "text")).drop("text"), "quality-statistics")
     rules = fit(measured, labels)
     score = fresh_name(docs, "quality_score")
-    return with_statistics(docs).withColumn(score, rules.score()).where(F.col(score) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Behind a generator the filter sees only the score: else it would hold the statistics once for every rule.
+    scored = with_statistics(docs).select(*columns, F.explode(F.array(rules.score())).alias(score))
+    return scored.where(F.col(score) >= threshold).select(*columns)
