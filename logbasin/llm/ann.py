@@ -6,8 +6,9 @@ are the centroids. A neighbour graph over the centroids is searched best-first i
 memory by every task (its size is bound by ``max_lists``). A vector goes to its nearest
 list and, near a boundary, to up to ``replicas`` lists: those within ``closure`` times
 the smallest distance and not nearer to a list already taken than to the vector. A
-query reads the lists within ``ratio`` times its smallest centroid distance, and at
-least ``least_lists``.
+query reads all lists within ``ratio`` times its smallest centroid distance, however
+many, and at least ``least_lists``; where the graph's beam doesn't reach beyond them, the
+distances to all centroids are computed.
 
 Every row is indexed. A list is stored in blocks of about ``block`` vectors, whatever
 its length, and queries are joined with lists block by block, so a list that holds a
@@ -37,6 +38,7 @@ from logbasin.llm.vectors import grouped_blocks, unpack, usable
 
 ship(__name__)
 SAMPLE, MAX_LISTS, LIST_ROWS, NEIGHBOURS, BEAM = 20_000, 8192, 256, 16, 96
+ROUNDING, PAIRS = 1e-9, 1 << 16
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -116,8 +118,9 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, list_rows: int = LIST_ROWS, ma
     points = np.unique(unit(means), axis=0)
     k = min(NEIGHBOURS, len(points))
     graph = np.vstack([np.argsort(-(p @ points.T), axis=1, kind="stable")[:, :k] for p in np.array_split(points, -(-len(points) // 512))])
-    # A link to a far point in both directions of the order keeps the graph connected.
+    # A link to a far point in both directions of the order keeps the graph connected; one that is there already would be found twice.
     ring = (np.arange(len(points)) + 1) % len(points)
+    ring = np.where((graph == ring[:, None]).any(1), graph[:, 0], ring)
     graph = np.hstack([graph, ring[:, None]])
     entries = np.unique(np.linspace(0, len(points) - 1, min(32, len(points))).astype(int))
     return Centroids(points, graph, entries)
@@ -137,13 +140,24 @@ def closure_lists(c: Centroids, m: np.ndarray, replicas: int, closure: float) ->
     return row, ids[row, col]
 
 
-def query_lists(c: Centroids, m: np.ndarray, ratio: float, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and lists: those within ``ratio`` times the smallest distance."""
-    ids, dist = c.nearest(m, most, most)
-    keep = np.isfinite(dist) & (dist <= ratio * dist[:, :1] + 1e-12)
+def query_lists(c: Centroids, m: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and lists: all those within ``ratio`` times the smallest distance."""
+    beam = max(BEAM, least)
+    ids, dist = c.nearest(m, beam, beam)
+    inside = lambda d: np.isfinite(d) & (d <= ratio * d.min(1, keepdims=True) + 1e-12)
+    keep = inside(dist)
+    # Rows whose beam ends within the ratio may have more lists there than the beam holds.
+    more = np.flatnonzero(keep.all(1)) if dist.shape[1] < len(c.points) else np.array([], int)
     keep[:, :least] = np.isfinite(dist[:, :least])
+    keep[more] = False
     row, col = np.nonzero(keep)
-    return row, ids[row, col]
+    rows, lists = [row], [ids[row, col]]
+    for part in np.array_split(more, -(-len(more) // 512)) if len(more) else []:
+        d = np.sqrt(np.maximum(2 - 2 * m[part] @ c.points.T, 0))
+        row, col = np.nonzero(inside(d))
+        rows.append(part[row])
+        lists.append(col)
+    return np.concatenate(rows), np.concatenate(lists)
 
 
 def _dealt(rule):
@@ -169,26 +183,31 @@ def _scan(k: int):
                 ids, x = unpack(b.column("candidates"), i)
                 order = np.lexsort((ids,))
                 ids, x = ids[order], x[order]
-                score = cosines(q, x)
-                score[qid[:, None] == ids[None, :]] = -np.inf
-                # The k-th largest with all its ties, so that the smaller ids win.
-                edge = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
-                row, col = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
-                place = np.lexsort((ids[col], -score[row, col], row))
-                row, col = row[place], col[place]
+                rough = unit(q) @ unit(x).T
+                rough[qid[:, None] == ids[None, :]] = -np.inf
+                # The k-th largest with all its ties, so that the smaller ids win, and what rounding may have put below it.
+                edge = np.partition(rough, max(0, rough.shape[1] - k), axis=1)[:, max(0, rough.shape[1] - k)]
+                row, col = np.nonzero((rough >= edge[:, None] - ROUNDING) & np.isfinite(rough))
+                score = cosines(q, x, row, col)
+                place = np.lexsort((ids[col], -score, row))
+                row, col, score = row[place], col[place], score[place]
                 first = np.searchsorted(row, row)
-                row, col = (a[np.arange(len(row)) - first < k] for a in (row, col))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[col]), pa.array(score[row, col])], ["query_id", "vec_id", "score"])
+                row, col, score = (a[np.arange(len(row)) - first < k] for a in (row, col, score))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[col]), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Row by row in one fixed order of addition, so that equal pairs have equal scores in every block."""
+def cosines(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Of the pairs (row, col), in one fixed order of addition, so that equal pairs have equal scores in every block."""
     sq, sx = np.abs(q).max(1, keepdims=True), np.abs(x).max(1, keepdims=True)
     q, x = q / sq, x / sx
     nq, nx = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
-    return np.vstack([(x * row).sum(1) / (n * nx) for row, n in zip(q, nq, strict=True)])
+    out = np.empty(len(row))
+    for i in range(0, len(row), PAIRS):
+        r, c = row[i : i + PAIRS], col[i : i + PAIRS]
+        out[i : i + PAIRS] = (x[c] * q[r]).sum(1) / (nq[r] * nx[c])
+    return out
 
 
 def index(vectors: DataFrame, c: Centroids, replicas: int = 4, closure: float = 1.15) -> DataFrame:
@@ -196,14 +215,14 @@ def index(vectors: DataFrame, c: Centroids, replicas: int = 4, closure: float =
     return vectors.mapInArrow(_dealt(lambda m: closure_lists(c, m, replicas, closure)), "list int, vec_id long, vector array<double>")
 
 
-def search(df: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding", replicas: int = 4, closure: float = 1.15, ratio: float = 1.25, least_lists: int = 8, most_lists: int = 64, block: int = 2048) -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding", replicas: int = 4, closure: float = 1.15, ratio: float = 1.25, least_lists: int = 8, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found, by cosine, for every row that ``is_query`` marks."""
     vectors = usable(df, vector, zero_ok=False)
     c = fit(vectors)
     if c is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     posted = stage(index(vectors, c, replicas, closure), "posting-lists")
-    asked = vectors.where(is_query).mapInArrow(_dealt(lambda m: query_lists(c, m, ratio, least_lists, most_lists)), "list int, vec_id long, vector array<double>")
+    asked = vectors.where(is_query).mapInArrow(_dealt(lambda m: query_lists(c, m, ratio, least_lists)), "list int, vec_id long, vector array<double>")
     asked = stage(asked, "list-queries")
     pairs = grouped_blocks(posted, ["list"], block, "candidates").join(grouped_blocks(asked, ["list"], 512, "queries"), "list")
     found = pairs.select("queries", "candidates").mapInArrow(_scan(k), FOUND)

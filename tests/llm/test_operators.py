@@ -117,6 +117,21 @@ def test_neighbours_reach_the_recall(vectors):
     assert [i for i, _ in got[100]] == [101, 102, 103, 104, 105]
 
 
+def test_the_ratio_alone_decides_on_the_lists_of_a_query(spark):
+    """Without clusters the ratio admits hundreds of lists: all of them are read."""
+    m = np.random.default_rng(12).normal(size=(4700, 64))
+    c = ann.fit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m[:4000])], "vec_id long, vector array<double>"), list_rows=8)
+    asked = ann.unit(m[4000:])
+    row, lists = ann.query_lists(c, asked, 1.25, 8)
+    d = np.sqrt(np.maximum(2 - 2 * asked @ c.points.T, 0))
+    want = d <= 1.25 * d.min(1, keepdims=True) + 1e-12
+    got = np.zeros_like(want)
+    got[row, lists] = True
+    wide = want.sum(1) > 2 * ann.BEAM
+    assert len(c.points) > 400 and wide.mean() > 0.3 and len(row) == got.sum()
+    assert (got[wide] == want[wide]).all() and (got & want).sum() >= 0.99 * want.sum()
+
+
 def test_exact_topk(vectors):
     frame, m = vectors
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in exact_topk.top_k(frame.withColumn("grp", F.lit(1)), F.col("vec_id") % 100 == 0, 10, block=128).collect()]
