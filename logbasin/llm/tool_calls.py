@@ -3,8 +3,9 @@
 ``link`` hash-joins calls and results by (conversation, call id), finds for each call
 how many calls it depends on in sequence (its level), numbers the calls of a
 conversation in topological order (level, then turn), validates the arguments against
-the tool's schema and serialises one canonical JSON line a call: keys sorted, no
-blanks, numbers and strings as they were given.
+the tool's schema, by the kind each JSON value has, and serialises one canonical JSON line
+a call: keys sorted at every depth, no blanks, values as they were given (numbers digit by
+digit, also those of unknown tools).
 
 A level needs as many rounds as the longest chain of dependencies; each round is a
 join of the calls that are still open. Calls in a cycle, or behind one, never get a
@@ -14,7 +15,8 @@ shifted by what earlier blocks hold, so no task sees a whole long conversation.
 Defined results: a call without result has status ``unanswered``, a result without
 call ``orphan`` (its row has no name and level null); an id called twice is
 ``ambiguous`` in every row, results that repeat an id are linked each; a null id never
-links; arguments that are no JSON object have error ``not_an_object``; an unknown tool
+links; arguments that are no whole JSON object, or one that repeats a key, have error
+``not_an_object``; a null counts as missing and is written; an unknown tool
 has ``unknown_tool``; references to ids that don't exist are ``missing_reference``;
 empty tables give empty results; extra columns are ignored.
 """
@@ -27,30 +29,48 @@ from pyspark.sql import functions as F
 from logbasin.llm.common import stage
 
 BLOCK = 256
-MAP = "map<string,string>"
+STRING = r'"((?:[^"\\]++|\\.)*+)"'
+# From the end of the last number over all that is none, whole strings too, to the next.
+NUMBER = r'(?s)\G((?:[^"0-9-]++|"(?:[^"\\]++|\\.)*+")*+)(-?[0-9][0-9.eE+-]*+)'
+MARKED_NUMBER = r'(?s)\G([^"]*+(?:"s(?:[^"\\]++|\\.)*+"[^"]*+)*+)"n([^"]*+)"'
+VALUES = "map<string,variant>"
 
 
-def argument_errors(arguments: Column, schema: Column, known: Column) -> Column:
-    """What is wrong with arguments, as a sorted list of texts.
+def marked(raw: Column) -> Column:
+    """The JSON as a variant in which a string (or key) x is "sx" and a number 1.50 is "n1.50", so that no digit is lost; null if the text isn't one whole JSON value."""
+    end = F.xxhash64(raw).cast("string")
+    whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), end, F.lit('"]')))
+    text = F.regexp_replace(F.regexp_replace(raw, "(?s)" + STRING, '"s$1"'), NUMBER, '$1"n$2"')
+    return F.when(F.try_variant_get(whole, "$[1]", "string") == end, F.try_parse_json(text))
 
-    ``schema``: array of (field, kind, required), null for an unknown tool; kinds are string, integer, number, boolean.
+
+def kinds(values: Column) -> Column:
+    """Field to kind (string, integer, number, boolean, object, array, null) of a marked object's values."""
+
+    def kind(v: Column) -> Column:
+        schema, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+        return (
+            F.when(schema == "VOID", "null").when(schema == "BOOLEAN", "boolean").when(schema.startswith("OBJECT"), "object")
+            .when(schema.startswith("ARRAY"), "array").when(text.startswith("s"), "string").when(text.rlike("^n-?[0-9]+$"), "integer").otherwise("number")
+        )
+
+    fields = F.transform(F.map_keys(values), lambda k: F.substring(k, 2, 2**31 - 1))
+    return F.map_from_arrays(fields, F.transform(F.map_values(values), kind))
+
+
+def argument_errors(given: Column, schema: Column, known: Column) -> Column:
+    """What is wrong with arguments of such kinds, as a sorted list of texts.
+
+    ``schema``: array of (field, kind, required), null for an unknown tool; kinds are string, integer, number, boolean, object, array.
     """
-    patterns = F.create_map(
-        F.lit("string"), F.lit("(?s).*"), F.lit("integer"), F.lit("-?[0-9]+"),
-        F.lit("number"), F.lit("-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?"), F.lit("boolean"), F.lit("true|false"),
-    )
-    missing = F.transform(
-        F.filter(schema, lambda f: f["required"] & F.element_at(arguments, f["field"]).isNull()),
-        lambda f: F.concat(F.lit("missing:"), f["field"]),
-    )
-    wrong = F.transform(
-        F.filter(schema, lambda f: F.element_at(arguments, f["field"]).isNotNull() & ~F.rlike(F.element_at(arguments, f["field"]), F.concat(F.lit("^(?:"), F.element_at(patterns, f["kind"]), F.lit(")$")))),
-        lambda f: F.concat(F.lit("type:"), f["field"]),
-    )
+    kind = lambda f: F.coalesce(F.element_at(given, f["field"]), F.lit("null"))
+    missing = F.transform(F.filter(schema, lambda f: f["required"] & (kind(f) == "null")), lambda f: F.concat(F.lit("missing:"), f["field"]))
+    fits = lambda f: (kind(f) == f["kind"]) | (kind(f) == "null") | ((kind(f) == "integer") & (f["kind"] == "number"))
+    wrong = F.transform(F.filter(schema, lambda f: ~fits(f)), lambda f: F.concat(F.lit("type:"), f["field"]))
     names = F.transform(schema, lambda f: f["field"])
-    extra = F.transform(F.array_except(F.map_keys(arguments), names), lambda k: F.concat(F.lit("unknown:"), k))
+    extra = F.transform(F.array_except(F.map_keys(given), names), lambda k: F.concat(F.lit("unknown:"), k))
     return (
-        F.when(arguments.isNull(), F.array(F.lit("not_an_object")))
+        F.when(given.isNull(), F.array(F.lit("not_an_object")))
         .when(~known, F.array(F.lit("unknown_tool")))
         .otherwise(F.array_sort(F.concat(missing, wrong, extra)))
     )
@@ -62,20 +82,9 @@ def quoted(text: Column) -> Column:
     return F.substring(inner, 6, F.char_length(inner) - 6)
 
 
-def canonical(arguments: Column, schema: Column) -> Column:
-    """A JSON object with sorted keys; values of numeric and boolean fields are written bare, where they are such."""
-    bare = F.transform(F.filter(schema, lambda f: f["kind"] != "string"), lambda f: f["field"])
-    pairs = F.transform(
-        F.array_sort(F.map_keys(arguments)),
-        lambda k: F.concat(
-            quoted(k), F.lit(":"),
-            F.when(
-                F.coalesce(F.array_contains(bare, k), F.lit(False)) & F.element_at(arguments, k).rlike("^(?:-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?|true|false)$"),
-                F.element_at(arguments, k),
-            ).otherwise(F.coalesce(quoted(F.element_at(arguments, k)), F.lit("null"))),
-        ),
-    )
-    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+def canonical(arguments: Column) -> Column:
+    """A marked variant as JSON without marks; variants hold their keys sorted."""
+    return F.regexp_replace(F.regexp_replace(F.to_json(arguments), MARKED_NUMBER, "$1$2"), "(?s)" + STRING.replace('"(', '"s(', 1), '"$1"')
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -119,7 +128,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     calls, results = stage(calls, "calls"), stage(results, "results")
     tools = stage(schemas, "tools").select(F.col("name").alias("_tool"), "fields")
-    c = calls.join(tools, F.col("name") == F.col("_tool"), "left").withColumn("_args", F.from_json("arguments", MAP))
+    c = calls.join(tools, F.col("name") == F.col("_tool"), "left").withColumn("_args", marked(F.col("arguments")))
+    c = c.withColumn("_values", F.try_variant_get("_args", "$", VALUES)).withColumn("_kinds", kinds(F.col("_values")))
+    problems = argument_errors(F.col("_kinds"), F.col("fields"), F.col("_tool").isNotNull())
+    canon = F.when(F.col("_values").isNotNull(), canonical(F.col("_args")))
+    c = c.select("conv_id", "turn", "call_id", "name", problems.alias("_problems"), canon.alias("_canon"))
     counts = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("_calls"))
     unique = stage(counts, "calls-ids")
     edges = calls.where("call_id is not null").select("conv_id", "call_id", F.explode("needs").alias("needs"))
@@ -134,11 +147,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("_called").isNull(), "orphan").when(F.col("_calls") > 1, "ambiguous").when(F.col("_answered").isNull(), "unanswered").otherwise("linked")
     )
-    problems = argument_errors(F.col("_args"), F.col("fields"), F.col("_tool").isNotNull())
-    problems = F.concat(problems, F.when(F.col("_lost"), F.array(F.lit("missing_reference"))).otherwise(F.array().cast("array<string>")))
+    problems = F.concat("_problems", F.when(F.col("_lost"), F.array(F.lit("missing_reference"))).otherwise(F.array().cast("array<string>")))
     rows = both.select(
         "conv_id", F.coalesce("turn", "result_turn").alias("turn"), "call_id", "name", "result", "result_turn", "level", status.alias("status"),
-        F.when(F.col("_called"), problems).alias("errors"), canonical(F.col("_args"), F.col("fields")).alias("_canon"),
+        F.when(F.col("_called"), problems).alias("errors"), "_canon",
     )
     text = lambda c: F.coalesce(quoted(c), F.lit("null"))
     line = F.concat(

@@ -191,6 +191,27 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), tool_calls.tools(spark)).count() == 0
 
 
+def test_arguments_keep_their_json_types(spark):
+    fields = [("n", "integer", False), ("s", "string", False), ("x", "number", False), ("o", "object", False), ("l", "array", False), ("b", "boolean", False)]
+    schemas = spark.createDataFrame([("t", fields)], tool_calls.tools(spark).schema)
+    cases = [
+        ("t", '{"n": "5", "s": 5, "x": 7, "b": "true"}', "type:b,type:n,type:s", '{"b":"true","n":"5","s":5,"x":7}'),
+        ("t", '{"n": "007", "x": 1.50e+2, "o": [], "l": {}}', "type:l,type:n,type:o", '{"l":{},"n":"007","o":[],"x":1.50e+2}'),
+        ("t", '{"o": {"z": {"b": [1.0, {"d": -0.10, "c": null}], "a": "n1"}, "y": "s\\"2\\" 3"}, "n": 1.5}', "type:n",
+         '{"n":1.5,"o":{"y":"s\\"2\\" 3","z":{"a":"n1","b":[1.0,{"c":null,"d":-0.10}]}}}'),
+        ("none", '{"k": 123456789012345678901234567890123456789012345, "a": false}', "unknown_tool", '{"a":false,"k":123456789012345678901234567890123456789012345}'),
+        ("t", "{}", "", "{}"), ("t", '{"n": 1} {"n": 2}', "not_an_object", "null"), ("t", '{"n": 01}', "not_an_object", "null"),
+        ("t", '{"s": "' + "long \\\\ text 1 " * 20_000 + '"}', "", '{"s":"' + "long \\\\ text 1 " * 20_000 + '"}'),
+    ]
+    rows = [(1, i, f"c{i}", name, raw, None) for i, (name, raw, _, _) in enumerate(cases)]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, result string")
+    got = {r.turn: r for r in tool_calls.link(calls, results, schemas).collect()}
+    for i, (_, _, errors, canon) in enumerate(cases):
+        assert ",".join(got[i].errors) == errors
+        assert got[i].json.startswith('{"arguments":' + canon + ',"id":')
+
+
 # -- secrets ------------------------------------------------------------------------------------
 
 
