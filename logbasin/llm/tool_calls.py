@@ -7,9 +7,11 @@ the tool's schema, by the kind each JSON value has, and serialises one canonical
 a call: keys sorted at every depth, no blanks, values as they were given (numbers digit by
 digit, also those of unknown tools).
 
-A level needs as many rounds as the longest chain of dependencies; each round is a
-join of the calls that are still open. Calls in a cycle, or behind one, never get a
-level and keep null. Places in a conversation are counted in blocks of turns and
+Calls with one dependency are followed back to the next call that has none or several, by
+doubling the distance, so a chain takes as many rounds as the logarithm of its length.
+What is left needs a round for each call with several dependencies on the longest path;
+each round is a join of the calls that are still open. Calls in a cycle, or behind one,
+never get a level and keep null. Places in a conversation are counted in blocks of turns and
 shifted by what earlier blocks hold, so no task sees a whole long conversation.
 
 Defined results: a call without result has status ``unanswered``, a result without
@@ -92,28 +94,58 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``calls`` are unique by (conv_id, call_id); ``edges`` are (conv_id, call_id, needs) between calls that exist.
     """
-    open_edges = stage(edges.distinct(), "calls-edges")
-    waiting = open_edges.select("conv_id", "call_id").distinct()
-    ready = stage(calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti"), "calls-level").withColumn("level", F.lit(0))
-    out, level = ready, 0
+    edges = stage(edges.distinct(), "calls-edges")
+    ids = ["conv_id", "call_id"]
+    needing = stage(edges.groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("needs")), "calls-needing")
+    back = stage(needing.where("n = 1").select(*ids, F.col("needs").alias("anchor"), F.lit(1).cast("long").alias("steps")), "calls-back")
+    met = -1
     while True:
-        done = ready.select("conv_id", F.col("call_id").alias("needs"))
-        left = stage(open_edges.join(done, ["conv_id", "needs"], "left_anti"), "calls-edges")
-        freed = open_edges.select("conv_id", "call_id").distinct().join(left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        freed = stage(freed, "calls-level")
-        if freed.isEmpty():
-            return out
-        level += 1
-        ready, open_edges = freed.withColumn("level", F.lit(level)), left
-        out = out.unionByName(ready)
+        ahead = back.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("_anchor"), F.col("steps").alias("_steps"))
+        further = back.join(ahead, ["conv_id", "anchor"], "left")
+        further = stage(
+            further.select(*ids, F.coalesce("_anchor", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_anchor").isNotNull().alias("met")),
+            "calls-back",
+        )
+        # Distances in a chain leave none out: once a round brings no call to its end, the rest is in cycles.
+        before, met = met, further.where("met").count()
+        back = further.drop("met")
+        if met in (0, before):
+            break
+    ready = calls.select(*ids).join(needing.select(*ids), ids, "left_anti")
+    ready = stage(ready.withColumn("level", F.lit(0).cast("long")), "calls-level")
+    several = edges.join(needing.where("n > 1").select(*ids), ids)
+    via = back.select("conv_id", F.col("call_id").alias("needs"), "anchor", "steps")
+    several = several.join(via, ["conv_id", "needs"], "left").select(*ids, F.coalesce("anchor", "needs").alias("needs"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    several = stage(several.withColumn("level", F.lit(None).cast("long")), "calls-several")
+    knots = ready
+    while not several.isEmpty():
+        done = ready.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("_level"))
+        several = several.join(done, ["conv_id", "needs"], "left").withColumn("level", F.coalesce("level", F.col("_level") + F.col("steps"))).drop("_level")
+        several = stage(several.select(*ids, "needs", "steps", "level"), "calls-several")
+        freed = several.groupBy(*ids).agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("_open")).where("_open = 0").drop("_open")
+        ready = stage(freed, "calls-level")
+        if ready.isEmpty():
+            break
+        knots = knots.unionByName(ready)
+        several = stage(several.join(ready.select(*ids), ids, "left_anti").select(*ids, "needs", "steps", "level"), "calls-several")
+    ends = knots.select("conv_id", F.col("call_id").alias("anchor"), "level")
+    followed = back.join(ends, ["conv_id", "anchor"]).select(*ids, (F.col("level") + F.col("steps")).alias("level"))
+    return knots.unionByName(followed).withColumn("level", F.col("level").cast("int"))
 
 
 def numbered(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Adds ``place``: 0, 1, ... in each conversation by level (null last), turn and call id."""
     rows = rows.withColumn("_level", F.coalesce("level", F.lit(2**31 - 1))).withColumn("_block", F.floor(F.coalesce("turn", F.lit(-1)) / block))
     sizes = rows.groupBy("conv_id", "_level", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy("conv_id").orderBy("_level", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("conv_id", "_level", "_block", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
+    sizes = stage(sizes.withColumn("_levels", F.floor(F.col("_level") / block)), "calls-sizes")
+    # First over blocks of levels, then inside each: a chain has as many levels as calls.
+    upto = Window.partitionBy("conv_id").orderBy("_levels").rowsBetween(Window.unboundedPreceding, -1)
+    many = sizes.groupBy("conv_id", "_levels").agg(F.sum("_n").alias("_n"))
+    many = many.select(F.col("conv_id").alias("_conv"), F.col("_levels").alias("_ls"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    near = Window.partitionBy("conv_id", "_levels").orderBy("_level", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(near), F.lit(0)))
+    starts = starts.join(many, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_levels") == F.col("_ls")))
+    starts = starts.select("conv_id", "_level", "_block", (F.col("_base") + F.col("_start")).alias("_start"))
     starts = stage(starts, "calls-starts").withColumnRenamed("conv_id", "_conv").withColumnRenamed("_level", "_l").withColumnRenamed("_block", "_b")
     met = rows.join(starts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_level") == F.col("_l")) & (F.col("_block") == F.col("_b")))
     inside = Window.partitionBy("conv_id", "_level", "_block").orderBy(F.col("turn").asc_nulls_first(), "call_id", "name", "result")
@@ -163,9 +195,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
 # -- calls derived from conversations ---------------------------------------------------------
 
 TOOLS = [
-    ("lookup", [("query", "string", True), ("limit", "integer", True)]),
-    ("measure", [("words", "integer", True), ("ratio", "number", False)]),
-    ("reply", [("text", "string", True), ("final", "boolean", True)]),
+    ("lookup", [("query", "string", True), ("limit", "integer", True), ("options", "object", False)]),
+    ("measure", [("words", "integer", True), ("ratio", "number", False), ("text", "string", False)]),
+    ("reply", [("text", "string", True), ("final", "boolean", True), ("parts", "array", False)]),
 ]
 
 
@@ -176,20 +208,29 @@ def tools(spark) -> DataFrame:
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each assistant turn as a tool call and the user turn behind it as its result.
 
-    The tool goes by turn % 3 and a fourth, unknown one every 11th turn; arguments come from the text; a call in a turn
-    of 4n + 3 needs the call two turns before it. Repeated rows make repeated calls.
+    The tool goes by turn % 3 and is a fourth, unknown one where turn % 7 = 5; every call holds the whole text. A call needs
+    the call before it in the conversation (two turns before), so chains are as long as conversations; where turn % 7 = 6 it
+    also names one that doesn't exist. Limits are texts where turn % 7 = 3, ratios always. Repeated rows make repeated calls.
     """
     t = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     call_id = lambda at: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), at.cast("string"))
     words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    head = F.substring("text", 1, 20)
+    origin = F.struct(F.struct(F.col("turn").alias("turn"), F.array(F.col("role"), call_id(F.col("turn"))).alias("path")).alias("origin"), words.alias("counted"))
+    lookup = lambda limit: F.to_json(F.struct(F.col("text").alias("query"), limit.alias("limit"), origin.alias("options")))
     made = (
-        F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(F.lit(5).alias("limit"), head.alias("query"))))
-        .when(F.col("turn") % 3 == 1, F.to_json(F.struct(F.when(words > 20, words).alias("words"), F.lit("n/a").alias("ratio"))))
-        .otherwise(F.to_json(F.struct(F.col("text").alias("text"), F.lit(True).alias("final"))))
+        F.when((F.col("turn") % 3 == 0) & (F.col("turn") % 7 == 3), lookup(F.lit("5")))
+        .when(F.col("turn") % 3 == 0, lookup(F.lit(5)))
+        .when(F.col("turn") % 3 == 1, F.to_json(F.struct(F.when(words > 20, words).alias("words"), F.lit("n/a").alias("ratio"), F.col("text").alias("text"))))
+        .otherwise(F.to_json(F.struct(F.col("text").alias("text"), F.lit(True).alias("final"), F.array(origin).alias("parts"))))
+    )
+    name = F.when(F.col("turn") % 7 == 5, "other").when(F.col("turn") % 3 == 0, "lookup").when(F.col("turn") % 3 == 1, "measure").otherwise("reply")
+    spoken = t.where("role = 'assistant'").select("conv_id", (F.col("turn") + 2).alias("turn")).distinct().withColumn("_follows", F.lit(True))
+    calls = t.where("role = 'assistant'").join(spoken, ["conv_id", "turn"], "left")
+    none = F.array().cast("array<string>")
+    needs = F.concat(
+        F.when(F.col("_follows"), F.array(call_id(F.col("turn") - 2))).otherwise(none),
+        F.when(F.col("turn") % 7 == 6, F.array(F.concat(call_id(F.col("turn")), F.lit("_lost")))).otherwise(none),
     )
-    name = F.when(F.col("turn") % 11 == 10, "other").when(F.col("turn") % 3 == 0, "lookup").when(F.col("turn") % 3 == 1, "measure").otherwise("reply")
-    needs = F.when(F.col("turn") % 4 == 3, F.array(call_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
-    calls = t.where("role = 'assistant'").select("conv_id", "turn", call_id(F.col("turn")).alias("call_id"), name.alias("name"), made.alias("arguments"), needs.alias("needs"))
+    calls = calls.select("conv_id", "turn", call_id(F.col("turn")).alias("call_id"), name.alias("name"), made.alias("arguments"), needs.alias("needs"))
     results = t.where("role = 'user' and turn > 0").select("conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("result"))
     return calls, results

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from collections import Counter, defaultdict
 
@@ -212,6 +213,36 @@ def test_arguments_keep_their_json_types(spark):
         assert got[i].json.startswith('{"arguments":' + canon + ',"id":')
 
 
+def test_derived_calls_hold_whole_texts_and_chain(spark):
+    long = 'said "so"\n\t\\ ' * 300 + "end"
+    turns = [(1, i, "user" if i % 2 else "assistant", f"{i} {long}") for i in range(80)] + [(2, 1, "assistant", None)]
+    calls, results = tool_calls.from_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    rows = {(r.conv_id, r.turn): r for r in tool_calls.link(calls, results, tool_calls.tools(spark)).collect() if r.name}
+    assert len(rows) == 41 and rows[2, 1].level == 0
+    for i in range(0, 80, 2):
+        r, given = rows[1, i], json.loads(rows[1, i].json)["arguments"]
+        assert (r.level, r.place) == (i // 2, i // 2) and f"{i} {long}" in (given.get("query"), given.get("text"))
+        assert ("unknown_tool" in r.errors, "missing_reference" in r.errors) == (i % 7 == 5, i % 7 == 6)
+        assert ("type:limit" in r.errors) == (i % 7 == 3 and i % 3 == 0 and i % 7 != 5)
+
+
+def test_levels_of_random_graphs(spark):
+    rng = np.random.default_rng(13)
+    n = 60
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, n, (55, 2)) if a > b} | {(i, i - 1) for i in range(101, 140)} | {(150, 151), (151, 150), (152, 151), (153, 152), (153, 3), (139, 40)}
+    names = {*range(n), *range(100, 140), 150, 151, 152, 153}
+    want: dict = {}
+    for _ in names:
+        for x in names - set(want):
+            needs = [b for a, b in edges if a == x]
+            if all(b in want for b in needs):
+                want[x] = max((want[b] + 1 for b in needs), default=0)
+    calls = spark.createDataFrame([(1, str(x)) for x in names], "conv_id long, call_id string")
+    given = spark.createDataFrame([(1, str(a), str(b)) for a, b in edges], "conv_id long, call_id string, needs string")
+    got = tool_calls.levels(calls, given).collect()
+    assert {int(r.call_id): r.level for r in got} == want and len(got) == len(want) < len(names)
+
+
 # -- secrets ------------------------------------------------------------------------------------
 
 
