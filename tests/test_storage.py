@@ -195,3 +195,16 @@ def test_streamed_windows_equal_the_batch(spark, lines, line, zone):
         assert sorted(r.value for r in counts.collect()) == [1, 2, 2]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_backlog_of_several_batches_loses_no_late_rows(spark, lines, line):
+    """The first file holds the latest time; the next ones go back by hours and overlap it."""
+    root = new_folder(spark, "backlog")
+    drops = [("01", "23"), ("01", "02", "23"), ("03", "01")]
+    for hours in drops:
+        lines(*[at(line, 8, h) for h in hours]).coalesce(1).write.mode("append").text(f"{root}/raw")
+    source = readers.stream_lines(spark, f"{root}/raw", files_per_batch=1)
+    run(streams.window_metrics(source, f"{root}/out", f"{root}/state", streams.AVAILABLE_NOW))
+    counts = readers.read_window_metrics(spark, f"{root}/out").where("metric = 'RequestCount'")
+    assert sorted(r.value for r in counts.collect()) == [1, 1, 2, 3]
+    assert spark.read.parquet(f"{root}/out").select("batch").distinct().count() > 1
