@@ -1,8 +1,11 @@
 """Secret scan: candidates, figures about them, and a random forest that removes false positives.
 
 A candidate is a run of at least ``MIN_CHARS`` characters that keys and tokens are made
-of. A finding is a candidate in a document, with the number of its occurrences and the
-neighbourhood of the first. The forest is grown on labelled findings (at most
+of. A finding is a candidate in a document. Each of its occurrences is scored by its own
+neighbourhood; the finding has the highest score, the neighbourhood that goes with it (of
+equals the first) and the number of occurrences. Its label is 1 if an occurrence's is and
+0 if all are; occurrences without a label in a finding that isn't 0 are not trained on.
+The forest is grown on labelled occurrences (at most
 ``max_rows`` of each kind, drawn by hash) from the candidate's length, character
 transitions, coverage by the corpus's dictionary, the path it stands in and its
 neighbouring words, and is compiled into one column expression. Only DataFrame
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logbasin.llm import forest
@@ -34,19 +37,21 @@ KEY_WORDS = "token|secret|password|passwd|pwd|apikey|api_key|access_key|private|
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, candidate, occurrences, before, after): one row for each finding, the text left behind."""
-    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    rows = docs.select("doc_id", "text", found.alias("found")).where(F.size("found") > 0)
+    """(doc_id, row, place, candidate, before, after): one row for each occurrence, the text left behind.
 
-    def finding(c: Column) -> Column:
-        at = F.instr(F.col("text"), c)
-        return F.struct(
-            c.alias("candidate"), F.size(F.filter("found", lambda x: x == c)).cast("long").alias("occurrences"),
-            F.substring(F.col("text"), F.greatest(at - AROUND, F.lit(1)), F.least(at - 1, F.lit(AROUND))).alias("before"),
-            F.substring(F.col("text"), at + F.char_length(c), F.lit(AROUND)).alias("after"),
-        )
+    ``row`` tells repeated documents apart. Candidates have sixteen characters at least and one between them, so three of
+    them and what lies between are more than a neighbourhood; the text is read once, however many candidates it holds.
+    """
+    found, between = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), found.alias("found"), between.alias("between")).where(F.size("found") > 0)
+    part = lambda name, i: F.coalesce(F.get(F.col(name), i), F.lit(""))
+
+    def occurrence(c: Column, i: Column) -> Column:
+        before = F.concat(*[x for k in (3, 2, 1) for x in (part("found", i - k), part("between", i - k + 1))])
+        after = F.concat(*[x for k in (1, 2, 3) for x in (part("between", i + k), part("found", i + k))])
+        return F.struct(i.alias("place"), c.alias("candidate"), F.right(before, F.lit(AROUND)).alias("before"), F.left(after, F.lit(AROUND)).alias("after"))
 
-    return rows.select("doc_id", F.inline(F.transform(F.array_distinct("found"), finding)))
+    return rows.select("doc_id", "row", F.inline(F.transform("found", occurrence)))
 
 
 def dictionary(found: DataFrame, size: int = DICTIONARY) -> list[str]:
@@ -99,11 +104,11 @@ def measured(found: DataFrame, trigrams: list[str]) -> DataFrame:
 
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, trees: int = 20, depth: int = 5) -> Column:
     """The score as an expression over the figures, from findings with a ``label`` of 0 or 1."""
-    known = labelled.where("label is not null").select(F.col("label").cast("double").alias("label"), "doc_id", "candidate", *[f"f_{k}" for k in FIGURES])
+    known = labelled.where("label is not null").select(F.col("label").cast("double").alias("label"), "doc_id", "candidate", "before", "after", *[f"f_{k}" for k in FIGURES])
     kinds = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     if len(kinds) < 2:
         return F.lit(float(next(iter(kinds), 0.0)))
-    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64(F.lit(SEED), "doc_id", "candidate")).limit(max_rows) for k in kinds]
+    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64(F.lit(SEED), "doc_id", "candidate"), "before", "after").limit(max_rows) for k in kinds]
     drawn = parts[0].unionByName(parts[1]).select("label", array_to_vector(F.array(*[f"f_{k}" for k in FIGURES])).alias("features"))
     drawn = stage(drawn, "secret-sample")
     grown = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED).fit(drawn)
@@ -124,9 +129,14 @@ def weak_labels(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, labelled_rows: Column | None = None, label=weak_labels, threshold: float = 0.5) -> DataFrame:
     """Every finding with score and verdict. ``labelled_rows`` marks the documents whose labelled findings are trained on."""
-    found = stage(candidates(docs), "secret-findings")
+    each = stage(candidates(docs), "secret-occurrences")
+    finding = Window.partitionBy("row", "candidate")
+    found = stage(each.withColumn("occurrences", F.count(F.lit(1)).over(finding)), "secret-findings")
     trigrams = dictionary(found)
     rows = stage(measured(found, trigrams), "secret-figures")
-    train = rows if labelled_rows is None else rows.where(labelled_rows)
-    score = fit(label(train))
-    return rows.select("doc_id", "candidate", "occurrences", "before", "after", score.alias("score")).withColumn("secret", F.col("score") >= threshold)
+    train = label(rows if labelled_rows is None else rows.where(labelled_rows))
+    clean = F.min(F.coalesce((F.col("label") == 0).cast("int"), F.lit(0))).over(finding)
+    score = fit(train.withColumn("label", F.when(F.col("label") == 1, F.lit(1)).when(clean == 1, F.lit(0))))
+    highest = F.max(F.struct(score.alias("score"), (-F.col("place")).alias("place"), "before", "after")).alias("highest")
+    scored = rows.groupBy("row", "doc_id", "candidate", "occurrences").agg(highest)
+    return scored.select("doc_id", "candidate", "occurrences", "highest.before", "highest.after", "highest.score").withColumn("secret", F.col("score") >= threshold)

@@ -259,6 +259,28 @@ def test_secret_scan_tells_tokens_from_words(spark):
     assert secret_scan.scan(empty(spark)).count() == 0
 
 
+def test_a_secret_may_stand_in_any_occurrence(spark):
+    rng = np.random.default_rng(14)
+    texts, late = [], set()
+    for i in range(150):
+        h = "".join(rng.choice(list("0123456789abcdef"), 40))
+        texts.append(f"plain text and commit {h} noted" + (f' then words, much later token = "{h}" and more' if i % 3 == 0 else f" and commit {h} again" if i % 3 == 1 else ""))
+        late |= {i} if i % 3 == 0 else set()
+    found = {r.doc_id: r for r in secret_scan.scan(make(spark, texts), F.col("doc_id") % 5 != 0).collect()}
+    assert len(found) == 150 and {i for i, r in found.items() if r.secret} == late
+    assert [found[i].occurrences for i in (0, 1, 2)] == [2, 2, 1] and found[0].before.endswith('token = "')
+
+
+def test_neighbourhoods_are_those_of_the_text(spark):
+    c = "abcdefgh01234567"
+    texts = [f"{c} x{c}y/{c} é{c}\n{c}!{c}!{c}!{c}", c, "short", f"{'w ' * 100}{c}.{'ü ' * 100}{c}"]
+    got = [(r.doc_id, r.place, r.candidate, r.before, r.after) for r in secret_scan.candidates(make(spark, texts)).collect()]
+    want = []
+    for i, t in enumerate(texts):
+        want += [(i, k, m.group(), t[max(0, m.start() - 48) : m.start()], t[m.end() : m.end() + 48]) for k, m in enumerate(re.finditer(secret_scan.CANDIDATE, t))]
+    assert sorted(got) == want
+
+
 # -- quality --------------------------------------------------------------------------------------
 
 
