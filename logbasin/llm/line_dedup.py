@@ -3,8 +3,9 @@
 A run holds one row for each line key: its 128-bit hash, in how many documents it
 was seen and the largest doc_id among them, sorted by hash. ``add`` writes the run
 of a batch at level 0; when a level holds ``fanout`` runs they are merged into one
-run of the next level, so a store of n batches has O(log n) runs. ``unseen`` and
-``drop_frequent`` merge-anti-join a batch with the runs.
+run of the next level, so a store of n batches has O(log n) runs. ``unseen``
+merge-anti-joins a batch with the runs; ``drop_frequent`` joins the lines with the
+frequent entries of the compacted run, since document counts need every batch.
 
 Defined results
 * null or empty text: one empty line, nothing dropped. Keys shorter than
