@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logbasin.llm import ann, exact_topk, line_dedup, minhash, mixing, pieces, quality, secret_scan, sharding, tool_calls
+from logbasin.llm import (
+    ann,
+    collocations,
+    decontaminate,
+    exact_topk,
+    importance,
+    line_dedup,
+    minhash,
+    mixing,
+    pieces,
+    quality,
+    secret_scan,
+    sharding,
+    tool_calls,
+)
 from logbasin.llm.common import table
 
 
@@ -74,7 +88,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_neighbours, op3_tool_calls, op4_secrets, op5_quality, op6_sharding, op7_minhash, op8_pieces, op9_exact_topk, op10_mixing)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_neighbours, op3_tool_calls, op4_secrets, op5_quality, op6_sharding, op7_minhash, op8_pieces, op9_exact_topk,
+        op10_mixing, op11_collocations, op12_importance, op13_decontamination,
+    )
+}
+
+WORDS_SQL = r"""list_filter(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+FEATURES_SQL = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"
 
 ORACLES = {
     "op1_line_dedup": r"""
@@ -111,4 +148,63 @@ ORACLES = {
             from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 10""",
+    "op11_collocations": r"""
+        with piece as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+        word as (select lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') as w from piece),
+        placed as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as g
+            from word, range(1, 5) t(k)),
+        gram as (select lang, k, g, string_split(g, ' ') as w, count(*)::bigint as f from placed group by lang, k, g),
+        spoken as (select lang, sum(f)::bigint as n from gram where k = 1 group by lang),
+        candidate as (select * from gram where k >= 2 and f >= 30),
+        cut as (select c.lang, c.g, c.f as a, t.j, array_to_string(w[1:j], ' ') as first, array_to_string(w[j + 1:], ' ') as rest
+            from candidate c, range(1, 4) t(j) where j < k),
+        judged as (select cut.lang, cut.g, cut.a, j, x.f as l, y.f as r, ((2000000::hugeint * cut.a) // (x.f + y.f))::bigint as score
+            from cut join gram x on x.lang = cut.lang and x.g = cut.first join gram y on y.lang = cut.lang and y.g = cut.rest),
+        lowest as (select * from judged qualify row_number() over (partition by lang, g order by score, j) = 1),
+        inner_part as (select c.lang, array_to_string(w[s:s + m - 1], ' ') as g, max(f) as f
+            from candidate c, range(2, 4) t(m), range(1, 4) u(s) where m < k and s + m - 1 <= k group by all),
+        kept as (select o.* from lowest o left join inner_part i on i.lang = o.lang and i.g = o.g
+            where i.f is null or 100::hugeint * i.f < 80::hugeint * o.a),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, g) as rank from kept)
+        select lang, rank, g as phrase, a, l, r, n, score from ranked join spoken using (lang) where rank <= 2000""",
+    "op12_importance": rf"""
+        with words as (select doc_id, {WORDS_SQL} as w from documents),
+        test as (select {WORDS_SQL} as w from benchmark),
+        doc_feature as (select doc_id, f, count(*) as n from (select doc_id, {FEATURES_SQL} as f from words) group by all),
+        test_feature as (select f, count(*) as n from (select {FEATURES_SQL} as f from test) group by all),
+        feature as (select f, hex(encode(f)) as h from (select f from doc_feature union select f from test_feature)),
+        crc_table as (select list(list_reduce(list_prepend(b, range(8)),
+            lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as t from range(256) r(b)),
+        bucketed as (select f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2),
+            lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket
+            from feature, crc_table),
+        s as (select bucket, sum(n) as s from doc_feature join bucketed using (f) group by bucket),
+        t as (select bucket, sum(n) as t from test_feature join bucketed using (f) group by bucket),
+        total as (select coalesce((select sum(s) from s), 0)::double as all_s, coalesce((select sum(t) from t), 0)::double as all_t),
+        gain as (select b.bucket, floor(1000 * ln((coalesce(t, 0)::double + 1) * (all_s + 10000) / ((coalesce(s, 0)::double + 1) * (all_t + 10000))))::bigint as gain
+            from range(10000) b(bucket) left join s using (bucket) left join t using (bucket), total),
+        summed as (select doc_id, sum(n * gain)::bigint as gains, sum(n)::bigint as n from doc_feature join bucketed using (f) join gain using (bucket) group by doc_id),
+        weighed as (select doc_id, len(w) as n_words, coalesce(n, 0) as n_features,
+            coalesce((gains - ((gains % n) + n) % n) // n, 0)::bigint as weight, ('0x' || sha256('7:' || doc_id)[:8])::bigint as h
+            from words left join summed using (doc_id)),
+        scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from weighed),
+        drawn as (select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_words >= 20),
+        share as (select 25 * count(*) // 100 as k from drawn)
+        select doc_id, n_features, weight, score, case when rank <= k then rank end as rank from scored left join drawn using (doc_id), share""",
+    "op13_decontamination": rf"""
+        with words as (select doc_id, {WORDS_SQL} as w from documents),
+        item as (select item_id, {WORDS_SQL} as w from benchmark),
+        item_window as (select distinct item_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as x
+            from (select *, least(len(w), 10) as m from item where len(w) > 0)),
+        doc_window as (select doc_id, m, unnest(range(0, len(w) - m + 1)) as place,
+            unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as x
+            from words, (select distinct m from item_window)),
+        hit as (select distinct doc_id, m, place, x from doc_window semi join item_window using (m, x)),
+        covered as (select doc_id, count(distinct i) as n_hit from (select doc_id, unnest(range(place, place + m)) as i from hit) group by doc_id),
+        held as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+            from (select distinct doc_id, item_id::varchar as id from hit join item_window using (m, x)) group by doc_id)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+            coalesce(n_hit, 0) > 0 as contaminated
+        from words left join covered using (doc_id) left join held using (doc_id)""",
 }
