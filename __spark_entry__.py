@@ -15,11 +15,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import oracles  # noqa: E402
 from logbasin.functions import classify, payload, timestamps  # noqa: E402
 from logbasin.functions.patterns import LAYOUTS, Layout  # noqa: E402
-from logbasin.operators import alarms, alerts, enrich, filters, parse, quality  # noqa: E402
+from logbasin.operators import alarms, alerts, enrich, filters, parse, quality, sketches  # noqa: E402
 from logbasin.plans import etl, jobs  # noqa: E402
-from logbasin.schema import FIELDS, OTHER_NAMES  # noqa: E402
+from logbasin.schema import FIELDS, OTHER_NAMES, PARTITIONS, table_schema  # noqa: E402
 from logbasin.session import apply_settings, new_folder  # noqa: E402
-from logbasin.sources import fixtures, readers, retention, writers  # noqa: E402
+from logbasin.sources import catalog, fixtures, readers, retention, writers  # noqa: E402
+from logbasin.sources.manifest import CommittedTable  # noqa: E402
+from logbasin.streaming import alarms as live_alarms  # noqa: E402
 from logbasin.streaming import jobs as streams  # noqa: E402
 
 try:
@@ -469,11 +471,10 @@ def _windows(key: str, spark, sf_dir) -> DataFrame:
         found = alarms.metric_windows(_events(spark, sf_dir), "ts", alarm, F.count(F.lit(1)))
         return alarms.with_empty_windows(found, alarm)
     if key == "lag":
-        lag_ms = F.col("event_id") * 7919 % 400000
-        seen = F.col("ts") + F.make_dt_interval(secs=lag_ms / 1000)
-        events = _events(spark, sf_dir).select("ts", seen.alias("seen"))
-        lag = F.timestamp_diff("MILLISECOND", F.col("ts"), F.col("seen"))
-        return alarms.metric_windows(events, "seen", alarm, F.max(lag))
+        folder = new_folder(spark, "arrived")
+        fixtures.write_arrived_files(spark, sf_dir, folder)
+        records = parse.parse_lines(readers.lines_with_origin(spark, folder))
+        return alarms.arrival_lag(records, "parsed_timestamp_syslog", alarm)
     if key == "parse_errors":
         records = parse.parse_lines(_timed_lines(spark, sf_dir))
         return alarms.metric_windows(records, "arrived", alarm, F.count_if(F.col("reject_reason").isNotNull()))
@@ -564,8 +565,29 @@ def parse_validity(spark, sf_dir):
 
 @query
 def invalid_line_excerpts(spark, sf_dir):
-    found = quality.invalid_lines(_records(spark, sf_dir))
-    return found.groupBy("line", "error").agg(F.count(F.lit(1)).alias("records"))
+    """Every bad line, whole, with its file and its number there."""
+    folder = new_folder(spark, "sorted")
+    fixtures.write_sorted_files(spark, sf_dir, folder)
+    found = quality.invalid_lines(parse.parse_lines(readers.numbered_lines(spark, folder)))
+    return found.select(_part_of("file").alias("file"), "line_number", "line", "error")
+
+
+def _part_of(file: str) -> Column:
+    return F.regexp_extract(file, "part=([0-9]+)", 1).cast("int")
+
+
+@query
+def field_type_errors(spark, sf_dir):
+    raw = parse.raw_records(fixtures.odd_json_lines(spark, sf_dir))
+    return quality.field_completeness(raw.where("reject_reason is null"))
+
+
+@query
+def nodes_and_paths(spark, sf_dir):
+    """Records without a node, relative and deep paths."""
+    records = enrich.enrich(parse.accepted(parse.parse_lines(fixtures.odd_json_lines(spark, sf_dir))), "legacy_udf")
+    keys = ["f5_environment", "request_domain", "request_path_depth", "file_extension"]
+    return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"))
 
 
 @query
@@ -668,12 +690,13 @@ REGISTRY["retention"] = REGISTRY.pop("retention_expiry")
 
 @query
 def bridge_publication(spark, sf_dir):
-    """JSON messages under ten keys, sent to files and read back."""
-    lines = fixtures.rendered_text(spark, sf_dir, "l_orderkey")
-    records = enrich.enrich(parse.accepted(parse.parse_lines(lines)), "bridge")
+    """JSON messages under ten keys, by the number of their line, sent to files and read back."""
     folder = new_folder(spark, "messages")
-    writers.publish(writers.publication(records, "l_orderkey"), path=folder)
-    sent = spark.read.schema("key string, value string").json(folder)
+    fixtures.write_sorted_files(spark, sf_dir, f"{folder}/raw")
+    lines = readers.numbered_lines(spark, f"{folder}/raw").drop("file")
+    records = enrich.enrich(parse.accepted(parse.parse_lines(lines)), "bridge")
+    writers.publish(writers.publication(records, "line_number"), path=f"{folder}/sent")
+    sent = spark.read.schema("key string, value string").json(f"{folder}/sent")
     body = F.from_json("value", "tamano_respuesta bigint, is_error boolean")
     return sent.groupBy("key").agg(
         F.count(F.lit(1)).alias("messages"),
@@ -682,6 +705,40 @@ def bridge_publication(spark, sf_dir):
     )
 
 
+@query
+def catalog_evolution(spark, sf_dir):
+    """Days behind the tenth bring a column and a wider type; a second crawl finds both in the new folders."""
+    folder = new_folder(spark, "evolving")
+    name, requests = "requests_" + folder.rpartition("-")[2], _requests(spark, sf_dir)
+    early = requests.where("day < 10").drop("cache_hit").withColumn("tiempo_respuesta_ms", F.col("tiempo_respuesta_ms").cast("int"))
+    for days in (early, requests.where("day >= 10")):
+        writers.by_partition(days).write.mode("append").partitionBy(*PARTITIONS).parquet(folder)
+        catalog.crawl(spark, name, folder)
+    return spark.table(name).groupBy("day").agg(
+        F.count(F.lit(1)).alias("records"), F.count("cache_hit").alias("with_cache_hit"), F.sum("tiempo_respuesta_ms").alias("ms")
+    )
+
+
+@query
+def sketched_pools(spark, sf_dir):
+    """Distinct clients and quantiles from stored hourly sketches, beside the exact ones."""
+    table = readers.read_requests(spark, _stored(spark, sf_dir))
+    store = CommittedTable(spark, new_folder(spark, "sketches"), ["year", "month"])
+    hourly = sketches.hourly(table, ["ambiente_pool"])
+    store.append(hourly, "sketches", 0)
+    found = sketches.united(store.read(hourly.schema, "year = 2025 and month = 8"), ["ambiente_pool"])
+    rows = table.select("ambiente_pool", "ip_cliente_externo", "tiempo_respuesta_ms").join(found, "ambiente_pool")
+    ms, n = F.col("tiempo_respuesta_ms"), F.count(F.lit(1))
+    close = []
+    for p in (50, 95, 99):
+        below, upto = F.count_if(ms < F.col(f"p{p}")) / n, F.count_if(ms <= F.col(f"p{p}")) / n
+        close.append(((below <= p / 100 + 0.015) & (upto >= p / 100 - 0.015)).alias(f"p{p}_close"))
+    clients = F.count_distinct("ip_cliente_externo")
+    return rows.groupBy("ambiente_pool", "distinct_values", "records").agg(
+        clients.alias("clients"), (F.abs(F.col("distinct_values") - clients) <= 0.04 * clients).alias("clients_close"), *close
+    ).drop("distinct_values")
+
+
 @query
 def ingest_envelope(spark, sf_dir):
     wrapped = enrich.ingest_envelope(_texts(spark, sf_dir))
@@ -718,8 +775,7 @@ def stream_filter_available_now(spark, sf_dir):
     _finished(
         streams.filter_alerts(_line_stream(spark, sf_dir), f"{folder}/alerts", f"{folder}/state", streams.AVAILABLE_NOW)
     )
-    schema = alerts.alert_records(_lines(spark, sf_dir)).schema
-    return _flat_alerts(spark.read.schema(schema).json(f"{folder}/alerts"))
+    return _flat_alerts(readers.read_alerts(spark, f"{folder}/alerts"))
 
 
 @query
@@ -735,8 +791,7 @@ def stream_filter_encoded(spark, sf_dir):
             streams.AVAILABLE_NOW, rejects_path=f"{folder}/errors",
         )
     )
-    schema = alerts.alert_records(_lines(spark, sf_dir)).schema
-    return _flat_alerts(spark.read.schema(schema).json(f"{folder}/alerts"))
+    return _flat_alerts(readers.read_alerts(spark, f"{folder}/alerts"))
 
 
 @query
@@ -748,21 +803,22 @@ def stream_batch_metrics(spark, sf_dir):
             f"{folder}/metrics",
         )
     )
-    return spark.read.parquet(f"{folder}/metrics").drop("timestamp", "batch")
+    return readers.read_batch_metrics(spark, f"{folder}/metrics").drop("timestamp")
 
 
 @query
 def stream_landing(spark, sf_dir):
-    folder = new_folder(spark, "landing")
-    _finished(
-        streams.land(_line_stream(spark, sf_dir), f"{folder}/raw", f"{folder}/state", streams.AVAILABLE_NOW)
-    )
-    landed = readers.read_lines(spark, f"{folder}/raw")
-    return landed.agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if(F.startswith("value", F.lit("{"))).alias("json_lines"),
-        F.count_if(F.startswith("value", F.lit("corrupt "))).alias("corrupt_lines"),
-    )
+    """Lines by the hour of their arrival, in files of 64 KB at most; JSON lines are only counted."""
+    folder, limit = new_folder(spark, "landing"), 1 << 16
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    lines = fixtures.rendered(fixtures.field_values(rows).withColumnRenamed("time", "arrived"), "arrived")
+    _finished(streams.land(lines, f"{folder}/raw", f"{folder}/state", streams.AVAILABLE_NOW, limit, F.col("arrived")))
+    landed = readers.read_landed(spark, f"{folder}/raw")
+    largest = landed.groupBy("_metadata.file_path").agg(F.sum(F.octet_length("value") + 1).alias("bytes")).agg(F.max("bytes"))
+    is_json = F.startswith("value", F.lit("{"))
+    counted = landed.groupBy("month", "day", "hour", F.when(~is_json, F.col("value")).alias("line")).agg(F.count(F.lit(1)).alias("records"))
+    return counted.withColumn("within_limit", largest.scalar() <= limit)
 
 
 @query
@@ -778,22 +834,61 @@ def incremental_ingest(spark, sf_dir):
                 source, f"{folder}/table", f"{folder}/errors", f"{folder}/state", streams.AVAILABLE_NOW
             )
         )
-    table = spark.read.parquet(f"{folder}/table")
-    return _sizes(table, "year", "month", "day", "hour")
+    return _sizes(readers.read_requests(spark, f"{folder}/table"), "year", "month", "day", "hour")
 
 
 @query
 def stream_window_metrics(spark, sf_dir):
-    """The newest state of every window, those still open included."""
+    """Five batches whose times overlap; the metrics are those of a batch over all lines, P95 included."""
     folder = new_folder(spark, "windows")
-    _finished(
-        streams.window_metrics(
-            _line_stream(spark, sf_dir), f"{folder}/metrics", f"{folder}/state", streams.AVAILABLE_NOW
-        )
-    )
+    lines = _lines(spark, sf_dir).withColumn("drop", F.pmod(F.crc32(F.col("value").cast("binary")), F.lit(5)))
+    for part in range(5):
+        lines.where(F.col("drop") == part).select("value").coalesce(1).write.mode("append").text(f"{folder}/raw")
+    source = readers.stream_lines(spark, f"{folder}/raw", files_per_batch=1)
+    _finished(streams.window_metrics(source, f"{folder}/metrics", f"{folder}/state", streams.AVAILABLE_NOW, fanout=2))
     return readers.read_window_metrics(spark, f"{folder}/metrics")
 
 
+@query
+def stream_alarm_transitions(spark, sf_dir):
+    """The alarm's changes of state as a stream raises them, in two runs on one checkpoint: those of the batch.
+
+    A line of September lets the watermark pass the last window of August.
+    """
+    folder, alarm = new_folder(spark, "alarms"), alarms.ALARMS["response_time"]
+    lines = _timed_lines(spark, sf_dir)
+    later = lines.where(F.col("value").startswith("Aug")).orderBy("value").limit(1).select(
+        F.regexp_replace(F.regexp_replace("value", "^Aug ..", "Sep  9"), r"\[\d\d/Aug/", "[09/Sep/").alias("value")
+    )
+    drops = [lines.where("day(arrived) <= 12").select("value"), lines.where("day(arrived) > 12").select("value").unionByName(later)]
+    for drop in drops:
+        drop.write.mode("append").text(f"{folder}/raw")
+        requests = etl.requests(readers.stream_lines(spark, f"{folder}/raw"))
+        at = timestamps.as_instant(F.col("parsed_timestamp_syslog")).alias("at")
+        _finished(
+            live_alarms.alarm_changes(
+                requests.select(at, "tiempo_respuesta_ms"), "at", alarm, F.avg("tiempo_respuesta_ms"), f"{folder}/changes", f"{folder}/state",
+                streams.AVAILABLE_NOW,
+            )
+        )
+    return spark.read.parquet(f"{folder}/changes")
+
+
+@query
+def compaction(spark, sf_dir):
+    """Four runs leave small files in every hour; packed, each hour has one, and no row is lost."""
+    folder = new_folder(spark, "compaction")
+    lines = _lines(spark, sf_dir).withColumn("drop", F.crc32(F.col("value").cast("binary")) % 4)
+    for part in range(4):
+        lines.where(F.col("drop") == part).select("value").write.mode("append").text(f"{folder}/raw")
+        source = readers.stream_lines(spark, f"{folder}/raw")
+        _finished(streams.ingest(source, f"{folder}/table", f"{folder}/errors", f"{folder}/state", streams.AVAILABLE_NOW))
+    table = CommittedTable(spark, f"{folder}/table")
+    table.compact(table_schema())
+    files = table.live().groupBy(*[F.col(k).cast("int").alias(k) for k in PARTITIONS]).agg(F.count(F.lit(1)).alias("files"))
+    return _sizes(readers.read_requests(spark, f"{folder}/table"), *PARTITIONS).join(files, PARTITIONS)
+
+
 # -- contract ----------------------------------------------------------------------------
 
 

@@ -8,10 +8,13 @@ the time range has periods, however many requests lie in them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logbasin.functions.timestamps import as_wall_time
+
 
 @dataclass(frozen=True)
 class Alarm:
@@ -48,6 +51,18 @@ def metric_windows(df: DataFrame, time: str, alarm: Alarm, value: Column, dimens
     return df.groupBy(window_start(time, alarm), *(dimensions or [])).agg(value.cast("double").alias("value"))
 
 
+def arrival_lag(records: DataFrame, event: str, alarm: Alarm) -> DataFrame:
+    """The lag alarm's windows: how far, in milliseconds, the newest record of a file lies behind the file's arrival.
+
+    ``records`` carry ``file`` and ``arrived`` (``readers.lines_with_origin``); a window, of arrival times, takes its
+    files' largest lag. Files without a timed record have none.
+    """
+    files = records.groupBy("file", "arrived").agg(F.max(event).alias("newest")).where("newest is not null")
+    arrived = as_wall_time(F.col("arrived"))
+    lag = F.timestamp_diff("MILLISECOND", F.col("newest"), F.col("seen"))
+    return metric_windows(files.select("newest", arrived.alias("seen")), "seen", alarm, F.max(lag))
+
+
 def _epoch(time: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), time.cast("timestamp_ntz"))
 
@@ -75,21 +90,28 @@ def _breaches(value: Column, alarm: Alarm) -> Column:
     return F.coalesce(crossed, F.lit(alarm.missing == "breaching"))
 
 
+DAY = 86400
+
+
+def _by_day(at: Column) -> Column:
+    return F.floor(at / DAY)
+
+
 def evaluate(windows: DataFrame, alarm: Alarm, dimensions: list[str] | None = None) -> DataFrame:
     """State of the alarm at the end of each window: ``ALARM`` or ``OK``.
 
     The frame is a range of time, so a window without data ends a run of
-    breaches unless it has been added as breaching.
+    breaches unless it has been added as breaching. Windows are judged day by
+    day: the last ones of a day also go to the next, where they only count.
     """
-    at = _epoch(F.col("window_start"))
-    frame = (
-        Window.partitionBy(*(dimensions or [])).orderBy("_at").rangeBetween(-(alarm.periods - 1) * alarm.period, 0)
-    )
-    judged = windows.withColumn("_at", at).withColumn("breaching", _breaches(F.col("value"), alarm))
-    run = F.sum(F.col("breaching").cast("int")).over(frame)
-    judged = judged.withColumn("datapoints_breaching", run)
+    keys, reach = list(dimensions or []), (alarm.periods - 1) * alarm.period
+    judged = windows.withColumn("_at", _epoch(F.col("window_start"))).withColumn("breaching", _breaches(F.col("value"), alarm))
+    own = _by_day(F.col("_at"))
+    judged = judged.withColumn("_day", F.explode(F.sequence(own, _by_day(F.col("_at") + reach))))
+    frame = Window.partitionBy(*keys, "_day").orderBy("_at").rangeBetween(-reach, 0)
+    judged = judged.withColumn("datapoints_breaching", F.sum(F.col("breaching").cast("int")).over(frame))
     state = F.when(F.col("datapoints_breaching") >= alarm.periods, "ALARM").otherwise("OK")
-    return judged.withColumn("state", state).drop("_at")
+    return judged.where(F.col("_day") == own).withColumn("state", state).drop("_at", "_day")
 
 
 def _reason(alarm: Alarm) -> Column:
@@ -109,9 +131,22 @@ def transitions(states: DataFrame, alarm: Alarm, dimensions: list[str] | None =
                 initial: str = "OK") -> DataFrame:
     """One row for each change of state, with the reason as text."""
     dimensions = dimensions or []
-    order = Window.partitionBy(*dimensions).orderBy("window_start")
-    changed = states.withColumn("old_state", F.coalesce(F.lag("state").over(order), F.lit(initial)))
-    return changed.where("old_state <> state").select(
+    judged = states.withColumn("_day", _by_day(_epoch(F.col("window_start"))))
+    order = Window.partitionBy(*dimensions, "_day").orderBy("window_start")
+    judged = judged.withColumn("old_state", F.lag("state").over(order))
+    # A day's first window follows the last one of the latest day that has any: one row a day.
+    days = judged.groupBy(*dimensions, "_day").agg(F.max_by("state", "window_start").alias("_state"))
+    over_days = Window.partitionBy(*dimensions).orderBy("_day")
+    renamed = {c: f"_of_{i}" for i, c in enumerate([*dimensions, "_day"])}
+    before = days.withColumn("_before", F.lag("_state").over(over_days)).drop("_state").withColumnsRenamed(renamed)
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in renamed.items()]
+    judged = judged.join(before, reduce(Column.__and__, same), "left").withColumn("old_state", F.coalesce("old_state", "_before", F.lit(initial)))
+    return named_transitions(judged.where("old_state <> state"), alarm, dimensions)
+
+
+def named_transitions(changed: DataFrame, alarm: Alarm, dimensions: list[str]) -> DataFrame:
+    """Judged windows at which the state changed, with the alarm's name and the reason."""
+    return changed.select(
         F.lit(alarm.name).alias("alarm_name"),
         F.lit(alarm.description).alias("alarm_description"),
         *dimensions,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logbasin.functions import classify
 from logbasin.functions.health import percent, stream_health
 from logbasin.operators.parse import raw_records
-from logbasin.operators.summary import nearest_rank, number_of, summarize, total
+from logbasin.operators.summary import Measure, nearest_rank, number_of, ranked, summarize, total
 from logbasin.schema import FIELDS, NUMERIC_TYPES, OTHER_NAMES
 
 NOT_IN_ALERTS = ("usuario_autenticado", "identidad", "campo_reservado_2")
@@ -115,18 +115,24 @@ def _is_slow() -> Column:
     return F.col("time_ms") > classify.SLOW_MS
 
 
-def pool_metrics(requests: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Count, mean, P95, error rate and health of each (node, pool, virtual server)."""
-    keys = [*(keys or []), *DIMENSIONS]
-    measures = {
+def _measures() -> dict[str, Measure]:
+    return {
         "_time": total(F.col("time_ms")),
         "_errors": number_of(classify.has_error_digit(F.col("code"))),
         "_slow": number_of(_is_slow()),
     }
+
+
+def pool_metrics(requests: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Count, mean, P95, error rate and health of each (node, pool, virtual server)."""
+    keys = [*(keys or []), *DIMENSIONS]
     table = requests.select(*keys, "time_ms", "code")
-    out = summarize(table, keys, "time_ms", {"P95ResponseTime": 95}, measures, rank=nearest_rank)
+    return _metrics(summarize(table, keys, "time_ms", {"P95ResponseTime": 95}, _measures(), rank=nearest_rank), keys)
+
+
+def _metrics(summary: DataFrame, keys: list[str]) -> DataFrame:
     error_rate, slow_rate = percent(F.col("_errors"), F.col("rows")), percent(F.col("_slow"), F.col("rows"))
-    wide = out.select(
+    wide = summary.select(
         *keys,
         F.col("rows").alias("RequestCount"),
         (F.col("_time") / F.col("rows")).alias("AverageResponseTime"),
@@ -137,6 +143,26 @@ def pool_metrics(requests: DataFrame, keys: list[str] | None = None) -> DataFram
     return _with_units(wide, keys)
 
 
+WINDOW = ["window_start", "window_end"]
+
+
+def window_histogram(requests: DataFrame, time: str, period: str = "5 minutes") -> DataFrame:
+    """How often each response time occurs per window and pool: parts of it can be added up, at any split of the rows."""
+    keyed = requests.select("*", *_window(time, period))
+    return keyed.groupBy(*WINDOW, *DIMENSIONS, "time_ms").agg(F.count(F.lit(1)).alias("n"), *[m.of_rows().alias(c) for c, m in _measures().items()])
+
+
+def merged_histogram(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*WINDOW, *DIMENSIONS, "time_ms").agg(F.sum("n").alias("n"), *[m.of_parts(F.col(c)).alias(c) for c, m in _measures().items()])
+
+
+def histogram_metrics(parts: DataFrame) -> DataFrame:
+    """The pool metrics of windows from parts of their histograms: those of ``windowed_pool_metrics`` over the same rows."""
+    keys = [*WINDOW, *DIMENSIONS]
+    whole = merged_histogram(parts).withColumnsRenamed({"time_ms": "_v", "n": "_n"})
+    return _metrics(ranked(whole, keys, {"P95ResponseTime": 95}, _measures(), rank=nearest_rank), keys)
+
+
 def _window(time: str, period: str) -> list[Column]:
     w = F.window(time, period)
     return [w["start"].alias("window_start"), w["end"].alias("window_end")]
@@ -156,24 +182,3 @@ def windowed_health(requests: DataFrame, time: str, period: str) -> DataFrame:
     """Only the health score of each (node, pool, virtual server) per window."""
     keyed = requests.select(*_window(time, period), *DIMENSIONS, "time_ms", "code")
     return keyed.groupBy("window_start", "window_end", *DIMENSIONS).agg(stream_health(*_rates()).alias("PoolHealthScore"))
-
-
-def stream_pool_metrics(requests: DataFrame, time: str, period: str = "5 minutes",
-                        watermark: str | None = "10 minutes", accuracy: int = 10_000) -> DataFrame:
-    """The pool metrics per window for a stream; without a watermark no row is late and every window's state is kept.
-
-    A stream aggregates once, so P95 is approximate there, within 1 / ``accuracy`` of the rank.
-    """
-    error_rate, slow_rate = _rates()
-    timed = requests.withWatermark(time, watermark) if watermark else requests
-    wide = timed.groupBy(F.window(time, period).alias("w"), *DIMENSIONS).agg(
-        F.count(F.lit(1)).alias("RequestCount"),
-        F.avg("time_ms").alias("AverageResponseTime"),
-        F.percentile_approx("time_ms", 0.95, accuracy).alias("P95ResponseTime"),
-        error_rate.alias("ErrorRate"),
-        stream_health(error_rate, slow_rate).alias("PoolHealthScore"),
-    )
-    wide = wide.select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *DIMENSIONS, *METRIC_UNITS
-    )
-    return _with_units(wide, ["window_start", "window_end", *DIMENSIONS])

@@ -9,8 +9,6 @@ from logbasin.functions import cleaning, patterns
 from logbasin.operators.parse import evaluated_once
 from logbasin.schema import DERIVED_TYPES, FIELDS, NUMERIC_TYPES, PARTITIONS, REQUIRED_FIELDS
 
-EXCERPT = 100
-
 
 def _conformance(df: DataFrame, columns: int, keys: int, missing: list[str], missing_keys: list[str],
                  status: str) -> DataFrame:
@@ -93,14 +91,15 @@ def parse_validity(records: DataFrame) -> DataFrame:
     )
 
 
-def invalid_lines(records: DataFrame, line_id: str | None = None) -> DataFrame:
-    """The start of every rejected line, with a line id and the reason."""
+def invalid_lines(records: DataFrame, excerpt: int | None = None) -> DataFrame:
+    """Every rejected line with the reason, and with its file and number if the lines carry them (``numbered_lines``).
+
+    ``excerpt`` adds the start of a long line, for display.
+    """
     line = F.col("line")
-    excerpt = F.when(F.length(line) > EXCERPT, F.concat(F.substring(line, 1, EXCERPT), F.lit("..."))).otherwise(line)
-    number = F.col(line_id) if line_id else F.monotonically_increasing_id()
-    return records.where("reject_reason is not null").select(
-        number.alias("line_number"), excerpt.alias("line"), F.col("reject_reason").alias("error")
-    )
+    origin = [c for c in ("file", "line_number") if c in records.columns]
+    shown = [F.when(F.length(line) > excerpt, F.concat(F.substring(line, 1, excerpt), F.lit("..."))).otherwise(line).alias("excerpt")] if excerpt else []
+    return records.where("reject_reason is not null").select(*origin, "line", F.col("reject_reason").alias("error"), *shown)
 
 
 def group_count_check(lines: DataFrame, column: str = "value", layout: patterns.Layout | None = None,

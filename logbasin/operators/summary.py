@@ -113,13 +113,19 @@ def summarize(
     else:
         parts = [Measure(m.kind, inputs[n]).of_rows().alias(n) for n, m in measures.items()]
         histogram = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"), *parts)
+    return ranked(histogram, keys, quantiles, measures, dict(zip(distinct, sets)), rank)
+
+
+def ranked(histogram: DataFrame, keys: list[str], quantiles: Mapping[str, int], measures: Mapping[str, Measure] | None = None,
+           distinct: Mapping[str, str] | None = None, rank=discrete_rank) -> DataFrame:
+    """The summary of a histogram: (keys, ``_v``, ``_n``, a column for each measure and distinct count), one row for each value."""
     counted = F.when(F.col("_v").isNotNull(), F.col("_n"))
     by_key = Window.partitionBy(*keys)
     upto = by_key.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = histogram.withColumn("_upto", F.sum(counted).over(upto)).withColumn("_all", F.sum(counted).over(by_key))
-    return ranked.groupBy(*keys).agg(
+    placed = histogram.withColumn("_upto", F.sum(counted).over(upto)).withColumn("_all", F.sum(counted).over(by_key))
+    return placed.groupBy(*keys).agg(
         F.sum("_n").alias("rows"),
-        *[m.of_parts(F.col(n)).alias(n) for n, m in measures.items()],
-        *[F.sum(s).alias(n) for s, n in zip(sets, distinct)],
+        *[m.of_parts(F.col(n)).alias(n) for n, m in (measures or {}).items()],
+        *[F.sum(s).alias(n) for n, s in (distinct or {}).items()],
         *[F.min(F.when(F.col("_upto") >= rank(p, F.col("_all")), F.col("_v"))).alias(n) for n, p in quantiles.items()],
     )

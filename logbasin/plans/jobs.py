@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logbasin.functions.classify import device_type
@@ -274,8 +274,8 @@ def traffic_distribution(df: DataFrame, limit: int | None = 100, **period) -> Da
         F.avg(SIZE).alias("avg_response_size"),
         F.count_distinct(CLIENT).alias("unique_clients"),
     )
-    # The total runs over the groups, not over the requests.
-    everything = F.sum("request_count").over(Window.partitionBy())
+    # One number, over the groups, not over the requests; it reuses the groups' shuffle.
+    everything = out.agg(F.sum("request_count")).scalar()
     out = out.withColumn("traffic_percentage", percent(F.col("request_count"), everything))
     return _cut(out, [F.desc("request_count")], list(keys), limit)
 

@@ -173,6 +173,49 @@ def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(values, "arrived")
 
 
+def write_sorted_files(spark: SparkSession, sf_dir: str, folder: str, files: int = 64) -> None:
+    """The same lines in as many files, each sorted by order and plain line, so that every line has a known number."""
+    values = field_values(lineitem(spark, sf_dir), "l_orderkey").withColumn("plain", text_line())
+    lines = rendered(values, "l_orderkey", "plain").withColumn("part", F.col("l_orderkey") % files)
+    in_order = lines.repartition("part").sortWithinPartitions("part", "l_orderkey", "plain")
+    in_order.select("value", "part").write.partitionBy("part").text(folder)
+
+
+SLOT_SECONDS = 21600
+
+
+def write_arrived_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The same lines in one file for every six hours, which arrives up to ten minutes after they have ended."""
+    values = field_values(lineitem(spark, sf_dir)).withColumn("slot", F.expr(f"timestampdiff(SECOND, timestamp_ntz'2025-08-01 00:00:00', time) div {SLOT_SECONDS}"))
+    rendered(values, "slot").repartition("slot").write.partitionBy("slot").text(folder)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listFiles(root, True)
+    while found.hasNext():
+        path = found.next().getPath()
+        slot = path.getParent().getName().partition("=")[2]
+        if slot.isdigit():
+            seconds = 1754006400 + (int(slot) + 1) * SLOT_SECONDS + int(slot) * 7919 % 600
+            fs.setTimes(path, seconds * 1000, -1)
+
+
+def odd_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON records with relative and deep paths, without a node, and with text in a number field."""
+    values = field_values(lineitem(spark, sf_dir), "l_partkey")
+    kind = F.col("l_partkey") % 5
+    path = (
+        F.when(kind == 1, F.concat(F.lit("cdn.example.org"), "recurso")).when(kind == 2, "-")
+        .when(kind == 3, F.concat("recurso", F.lit("/deep/er/Index.HTML"))).otherwise(F.col("recurso"))
+    )
+    values = values.withColumns({
+        "recurso": path,
+        "entorno_nodo": F.when(F.col("l_partkey") % 10 != 0, F.col("entorno_nodo")),
+        "tiempo_respuesta_ms": F.when(F.col("l_partkey") % 7 == 0, "slow").otherwise(F.col("tiempo_respuesta_ms").cast("string")),
+    })
+    return values.select(json_line().alias("value"))
+
+
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of ``lineitem`` as plain lines."""
     return rendered_text(spark, sf_dir)

@@ -450,8 +450,7 @@ def statements() -> dict[str, str]:
         VirtualServer, '{name}' as metric, {expression} as value, '{unit}' as unit from wide"""
     nearest = "list_sort(list(ms))[least(count(*), (95 * count(*)) // 100 + 1)]"
     q["windowed_pool_metrics"] = _sql(windowed.replace("{p95}", nearest))
-    # A stream takes the smallest value with at least 95 % at or below it.
-    q["stream_window_metrics"] = _sql(windowed.replace("{p95}", "quantile_disc(ms, 0.95)"))
+    q["stream_window_metrics"] = q["windowed_pool_metrics"]
     q["stream_filter_encoded"] = q["alert_records"]
     q["windowed_health"] = _sql(
         f""" select *, window_start + interval 10 minutes as window_end from (select
@@ -475,11 +474,11 @@ def statements() -> dict[str, str]:
     no_data = f"""select window_start, value from (select unnest(generate_series(min(b), max(b), interval 5 minutes))
         as window_start from (select {bucket(300)} as b from events)) left join (select {bucket(300)} as window_start,
         cast(count(*) as double) as value from events group by 1) using (window_start)"""
-    lag = f"""select {bucket(300, 'seen')} as window_start,
-        cast(max(event_id * 7919 % 400000) as double) as value
-        from (select *, ts + to_milliseconds(event_id * 7919 % 400000) as seen from events) group by 1"""
+    lag = f"""select {bucket(300, 'seen')} as window_start, max(lag) as value from (select seen, cast(epoch_ms(seen) - epoch_ms(newest) as double) as lag
+        from (select max(ts) as newest, timestamp '2025-08-01 00:00:00' + to_seconds((slot + 1) * 21600 + slot * 7919 % 600) as seen
+         from (select ts, (epoch(ts)::bigint - 1754006400) // 21600 as slot from ok) group by slot)) group by 1"""
     q["alarm_no_data"] = "with " + alarm(no_data, 300, 2, "value < 1", "true") + " select * from result"
-    q["alarm_lag"] = "with " + alarm(lag, 300, 2, "value > 300000") + " select * from result"
+    q["alarm_lag"] = _sql(" select * from result", alarm(lag, 300, 2, "value > 300000"))
     of = {
         "alarm_parse_errors": (f"select {bucket(300)} as window_start, cast(count(*) filter (fmt = 'bad') as double)"
                                " as value from rec group by 1", 300, 2, "value > 5"),
@@ -510,6 +509,7 @@ def statements() -> dict[str, str]:
         using (window_start))) where old_state <> state""",
         alarm(windows, period, n, breach),
     )
+    q["stream_alarm_transitions"] = q["alarm_transitions"]
 
     # quality
     q["schema_conformance"] = _sql(
@@ -560,9 +560,31 @@ def statements() -> dict[str, str]:
         """ select count(*) as total_lines, count(*) filter (fmt <> 'bad') as valid_lines,
         count(*) filter (fmt = 'bad') as invalid_lines from rec"""
     )
+    numbered = "row_number() over (partition by l_orderkey % 64 order by l_orderkey, line) as line_number"
     q["invalid_line_excerpts"] = _sql(
-        """ select left('corrupt ' || line, 100) || '...' as line, 'unknown_format' as error, count(*) as records
-        from lines where fmt = 'bad' group by 1"""
+        f""" select cast(l_orderkey % 64 as integer) as file, line_number, 'corrupt ' || line as line, 'unknown_format' as error
+        from (select *, {numbered} from lines) where fmt = 'bad'"""
+    )
+    q["field_type_errors"] = _sql(
+        " union all ".join(
+            f" select '{n}' as field, count(*) as records, {missing.get(n, '0')}::bigint as missing, {wrong}::bigint as type_errors from lineitem"
+            for missing in [{
+                "user_agent": "0", "entorno_nodo": "count(*) filter (l_partkey % 10 = 0)",
+                "tiempo_respuesta_ms": "count(*) filter (l_partkey % 7 = 0)",
+            }]
+            for n in required
+            for wrong in ["count(*) filter (l_partkey % 7 = 0)" if n == "tiempo_respuesta_ms" else "0"]
+        )
+    )
+    q["nodes_and_paths"] = _sql(
+        """ select f5_environment, case when path <> '-' then split_part(path, '/', 1) end as request_domain,
+        cast(case when path = '-' then 0 else len(list_filter(string_split(path, '/'), lambda x: x <> '')) end as integer) as request_path_depth,
+        case when contains(path, '.') then lower(split_part(list_last(string_split(path, '.')), '?', 1)) end as file_extension, count(*) as records
+        from (select case when l_partkey % 10 = 0 then 'UNKNOWN' when l_linestatus = 'O' then 'TEPROD' else 'PAPROD' end as f5_environment,
+         case l_partkey % 5 when 1 then 'cdn.example.org' || path when 2 then '-' when 3 then path || '/deep/er/Index.HTML' else path end as path
+         from (select *, concat('/org-',cast(l_suppkey%20 as varchar),'/files/',cast(l_partkey as varchar),
+          case l_partkey%4 when 0 then '.js?v=1' when 1 then '.css' when 2 then '.png' else '' end) as path from lineitem))
+        group by all"""
     )
     q["group_count_check"] = _sql(
         """ select count(*) as lines, count(*) filter (fmt = 'text') as matched, count(*) filter (fmt <> 'text')
@@ -600,17 +622,29 @@ def statements() -> dict[str, str]:
     q["incremental_ingest"] = _sql(
         " select year, month, day, hour, count(*) as records, sum(size)::bigint as bytes from ok group by 1, 2, 3, 4"
     )
+    q["compaction"] = _sql(
+        """ select year, month, day, hour, count(*) as records, sum(size)::bigint as bytes, 1::bigint as files
+        from ok group by 1, 2, 3, 4"""
+    )
     q["retention"] = _sql(
         " select day, count(*) as records, sum(size)::bigint as bytes from ok where day >= 17 group by 1"
     )
     q["stream_landing"] = _sql(
-        """ select count(*) as lines, count(*) filter (fmt in ('json','json_old','envelope')) as json_lines,
-        count(*) filter (fmt = 'bad') as corrupt_lines from rec"""
+        """ select cast(month(ts) as integer) as month, cast(day(ts) as integer) as day, cast(hour(ts) as integer) as hour,
+        case fmt when 'text' then line when 'bad' then 'corrupt ' || line end as line, count(*) as records, true as within_limit
+        from lines group by all"""
     )
     q["stream_batch_metrics"] = q["stream_metrics_flagged"]
     q["bridge_publication"] = _sql(
-        """ select cast(l_orderkey % 10 as varchar) as key, count(*) as messages, sum(size)::bigint as bytes,
-        count(*) filter (code >= 400) as errors from rec group by 1"""
+        f""" select cast(line_number % 10 as varchar) as key, count(*) as messages, sum(size)::bigint as bytes,
+        count(*) filter (code >= 400) as errors from (select *, {numbered} from lines) where fmt <> 'bad' group by 1"""
+    )
+    q["catalog_evolution"] = _sql(
+        """ select day, count(*) as records, count(*) filter (day >= 10) as with_cache_hit, sum(ms)::bigint as ms from ok group by day"""
+    )
+    q["sketched_pools"] = _sql(
+        """ select ambiente_pool, count(*) as records, count(distinct ip_cliente_externo) as clients, true as clients_close,
+        true as p50_close, true as p95_close, true as p99_close from ok group by 1"""
     )
     q["ingest_envelope"] = _sql(
         " select 'f5_access' as log_type, 'spark' as processed_by, '1' as agent_version, line as message from lines"
