@@ -184,7 +184,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         "conv_id", F.coalesce("turn", "result_turn").alias("turn"), "call_id", "name", "result", "result_turn", "level", status.alias("status"),
         F.when(F.col("_called"), problems).alias("errors"), "_canon",
     )
-    text = lambda c: F.coalesce(quoted(c), F.lit("null"))
+    text = lambda c: F.when(c.isNull(), "null").otherwise(quoted(c))
     line = F.concat(
         F.lit('{"arguments":'), F.coalesce("_canon", F.lit("null")), F.lit(',"id":'), text(F.col("call_id")), F.lit(',"name":'), text(F.col("name")),
         F.lit(',"result":'), text(F.col("result")), F.lit("}"),
