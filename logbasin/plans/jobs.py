@@ -16,6 +16,7 @@ from logbasin.functions.classify import device_type
 from logbasin.functions.health import origin_health, percent, pool_health
 from logbasin.operators.filters import errors, where_period, where_time_range
 from logbasin.operators.summary import filled, highest, lowest, number_of, summarize, total
+from logbasin.session import new_folder
 
 TIME = "tiempo_respuesta_ms"
 SIZE = "tamano_respuesta"
@@ -261,7 +262,7 @@ def request_summary(df: DataFrame, limit: int | None = 50, **period) -> DataFram
 
 
 def traffic_distribution(df: DataFrame, limit: int | None = 100, **period) -> DataFrame:
-    """Requests by origin, pool, node and method, with each group's share of all requests."""
+    """Requests by origin, pool, node and method, with each group's share of all requests. Runs when it is called."""
     keys = {
         "bigip_device": "ambiente_origen",
         "pool_name": "ambiente_pool",
@@ -274,7 +275,10 @@ def traffic_distribution(df: DataFrame, limit: int | None = 100, **period) -> Da
         F.avg(SIZE).alias("avg_response_size"),
         F.count_distinct(CLIENT).alias("unique_clients"),
     )
-    # One number, over the groups, not over the requests; it reuses the groups' shuffle.
+    # The groups are stored, so that requests are read once; their total is one number, not a window over all groups.
+    folder = new_folder(df.sparkSession, "traffic")
+    out.write.parquet(folder)
+    out = df.sparkSession.read.schema(out.schema).parquet(folder)
     everything = out.agg(F.sum("request_count")).scalar()
     out = out.withColumn("traffic_percentage", percent(F.col("request_count"), everything))
     return _cut(out, [F.desc("request_count")], list(keys), limit)
