@@ -9,9 +9,10 @@ frequent entries of the compacted run, since document counts need every batch.
 
 Defined results
 * null or empty text: one empty line, nothing dropped. Keys shorter than
-  ``min_chars`` code points never leave.
+  ``min_chars`` code points never leave. Work is linear in the lines of a text.
 * Repeated rows of a doc_id count as one document and are treated alike. Rows
   without doc_id neither count nor lose lines.
+* doc_id keeps its type, whatever orders it (text too).
 * A batch must bring doc_ids that earlier batches did not bring; ``add_all`` deals
   a table out by hash of doc_id, which holds that.
 * Extra columns pass through; an empty table gives an empty result.
@@ -28,7 +29,7 @@ from logbasin.llm.common import SPACES, fresh_name, lower_ascii, stage
 from logbasin.session import new_folder
 
 MIN_CHARS, MIN_DOCS = 40, 5
-RUN = "h1 long, h2 long, n_docs long, last_doc long"
+RUN = "h1 long, h2 long, n_docs long, last_doc {}"
 
 
 def split_lines(text: Column) -> Column:
@@ -44,18 +45,25 @@ def key_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
 
 
+def text_key(text: Column) -> list[Column]:
+    """128 bits that tell texts of one doc_id apart."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
+
+
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, h1, h2) of the long lines, each once for a row of documents."""
-    keys = F.filter(F.transform(split_lines(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars)
-    one = F.explode(F.array_distinct(F.transform(keys, key_hash))).alias("h")
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), one).select("doc_id", "h.h1", "h.h2")
+    """(doc_id, t1, t2, pos, h1, h2) of the long lines; ``pos`` is a line's place in its text, from 0."""
+    # The text's key stands below the generator: above it, every line would carry and hash its whole text.
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", *text_key(F.col("text")))
+    keys = rows.select("doc_id", "t1", "t2", F.posexplode(F.transform(split_lines(F.col("text")), line_key)).alias("pos", "key"))
+    long = keys.where(F.char_length("key") >= min_chars).withColumn("h", key_hash(F.col("key")))
+    return long.select("doc_id", "t1", "t2", "pos", "h.h1", "h.h2")
 
 
 class LineRuns:
     """The store. ``levels[i]`` lists the folders of level i, oldest first."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = 2):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = 2, id_type: str = "long"):
+        self.spark, self.fanout, self.schema = spark, fanout, RUN.format(id_type)
         self.root = root or new_folder(spark, "line-runs")
         self.levels: list[list[str]] = [[]]
         self._written = 0
@@ -91,7 +99,7 @@ class LineRuns:
         """One row for each line key in the store."""
         folders = [f for level in self.levels for f in level]
         if not folders:
-            return self.spark.createDataFrame([], RUN)
+            return self.spark.createDataFrame([], self.schema)
         return self._read(folders[0]) if len(folders) == 1 else self._merged(folders)
 
     def unseen(self, lines: DataFrame) -> DataFrame:
@@ -104,7 +112,7 @@ class LineRuns:
         return self.entries().where(F.col("n_docs") >= min_docs)
 
     def _read(self, folder: str) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(folder)
+        return self.spark.read.schema(self.schema).parquet(folder)
 
     def _merged(self, folders: list[str]) -> DataFrame:
         rows = reduce(DataFrame.unionByName, map(self._read, folders))
@@ -121,7 +129,7 @@ def build_runs(docs: DataFrame, batches: int = 4, min_chars: int = MIN_CHARS, fa
     """The store over a whole table, and its staged line hashes. Texts are read once."""
     lines = line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     staged = stage(lines, "line-hashes", ["batch"])
-    runs = LineRuns(docs.sparkSession, fanout=fanout)
+    runs = LineRuns(docs.sparkSession, fanout=fanout, id_type=docs.schema["doc_id"].dataType.simpleString())
     runs.add_all(staged, batches)
     runs.compact()
     return runs, staged
@@ -132,25 +140,28 @@ def drop_frequent(docs: DataFrame, runs: LineRuns, lines: DataFrame, min_docs: i
 
     Adds ``n_lines`` and ``n_dropped`` and replaces ``text``; a text that loses nothing stays as it is (also null).
     The runs hold a line's keeper, so the lines to drop are those that meet a frequent entry of another keeper; they
-    are few beside all lines, and texts are shuffled once, to meet them by doc_id.
+    are few beside all lines. Their places come to their text by doc_id and text, and texts are shuffled once for it.
     """
     frequent = stage(runs.frequent(min_docs), "line-frequent")
-    mark, gone = fresh_name(docs, "doc_key"), fresh_name(docs, "gone")
+    names = {c: fresh_name(docs, c) for c in ("doc_key", "t1", "t2", "gone", "lines")}
     drops = (
         lines.join(frequent, ["h1", "h2"]).where(F.col("doc_id") != F.col("last_doc"))
-        .groupBy(F.col("doc_id").alias(mark)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
+        .groupBy(F.col("doc_id").alias(names["doc_key"]), F.col("t1").alias(names["t1"]), F.col("t2").alias(names["t2"]))
+        .agg(F.collect_set("pos").alias(names["gone"]))
     )
-    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(mark), "left")
-    all_lines = split_lines(F.col("text"))
-    kept = F.filter(all_lines, lambda line: ~F.array_contains(F.col(gone), key_hash(line_key(line))))
-    kept = F.when(F.col(gone).isNotNull(), kept)
-    held = fresh_name(docs, "kept_lines")
-    joined = joined.withColumn(held, kept)
-    n = F.size(all_lines).cast("long")
-    whole = F.col(held).isNull()
-    return joined.select(
-        *[F.when(whole, F.col("text")).otherwise(F.array_join(held, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        n.alias("n_lines"), F.when(whole, F.lit(0)).otherwise(n - F.size(held)).cast("long").alias("n_dropped"),
+    drops = stage(drops, "line-drops")
+    first, second = text_key(F.col("text"))
+    same = (F.col("doc_id") == F.col(names["doc_key"])) & (first == F.col(names["t1"])) & (second == F.col(names["t2"]))
+    joined = docs.join(drops, same, "left")
+    # Behind a generator the lines are a column, split once and not for every line that is read from them.
+    parted = joined.select("*", F.inline(F.array(F.struct(split_lines(F.col("text")).alias(names["lines"])))))
+    split, gone = F.col(names["lines"]), F.col(names["gone"])
+    # array_except of integers goes through a hash set and keeps the order.
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
+    text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    return parted.select(
+        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.size(split).cast("long").alias("n_lines"), F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
     )
 
 
