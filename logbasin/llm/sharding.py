@@ -1,16 +1,18 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
-Records are hashed into ``n_slots`` virtual slots, a number that never changes. Bytes
+Records are hashed into ``n_slots`` virtual slots, a number that never changes, by
+their text's size and checksum, so equal texts share a slot and a shard. A group of
+equal texts above 1 / ``PARTS`` of all bytes, or of more rows than four slots hold on
+average, is dealt out over as many slots as it needs, repeated rows too. Bytes
 are summed for each slot, and a map from slot to shard is stored with a version; a
 rebalance writes the next version and moves few slots. The map has ``n_slots`` rows,
 so it is planned on the driver and broadcast whatever the size of the data.
 
 Law: ``bytes``. Slots go to the lightest shard, heaviest slot first, so shards differ
-by less than one slot. A single slot heavier than a shard's share (one record of that
-size) sets the only limit.
+by less than one slot. A single record heavier than a shard's share sets the only limit.
 
 Defined results: a null text counts one byte and has the checksum of the empty text;
-rows without doc_id are dealt by their text; equal rows share a slot; an empty table
+rows without doc_id and rows that repeat are records like any other; an empty table
 gives an empty result and a map of empty slots; extra columns pass through ``assign``.
 """
 
@@ -18,27 +20,39 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logbasin.llm.common import stage
 from logbasin.session import new_folder
 
-N_SLOTS, N_SHARDS = 16384, 16
+N_SLOTS, N_SHARDS, PARTS, LEAST_ROWS = 16384, 16, 256, 1000
 MAP = "version int, virtual_slot int, shard int, bytes long, records long"
 
 
-def virtual_slot(doc_id: Column, checksum: Column, n_slots: int = N_SLOTS) -> Column:
-    return F.pmod(F.xxhash64(doc_id, checksum), F.lit(n_slots)).cast("int")
-
-
-def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, checksum and virtual slot of every row; the texts are read once."""
+def records(docs: DataFrame) -> DataFrame:
+    """doc_id, size, checksum and a number of its own for every row; the texts are read once."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
+    return docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("copy"),
     )
-    return rows.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), n_slots))
+
+
+def heavy_texts(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """(size, text_crc32, parts) of the groups to deal out: fewer than ``PARTS`` by bytes and ``n_slots`` / 4 by rows."""
+    groups = stage(rows.groupBy("size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), "shard-texts")
+    n_bytes, n_rows = groups.agg(F.sum(F.col("size") * F.col("n")), F.sum("n")).first()
+    by_bytes = F.ceil(F.col("size") * F.col("n") * PARTS / (n_bytes or 1))
+    by_rows = F.ceil(F.col("n") / max(LEAST_ROWS, 4 * (n_rows or 0) / n_slots))
+    return groups.select("size", "text_crc32", F.least("n", F.greatest(by_bytes, by_rows)).alias("parts")).where("parts > 1")
+
+
+def with_slot(rows: DataFrame, heavy: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """Adds ``virtual_slot`` to staged ``records``; ``heavy`` has a proven bound and is broadcast."""
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "copy"), F.col("parts")), F.lit(0))
+    slot = F.pmod(F.xxhash64("size", "text_crc32", part), F.lit(n_slots)).cast("int")
+    return rows.join(F.broadcast(heavy), ["size", "text_crc32"], "left").withColumn("virtual_slot", slot).drop("parts", "copy")
 
 
 def slot_loads(rows: DataFrame) -> DataFrame:
@@ -134,6 +148,7 @@ def number_rows(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard and slot of every row, by a fresh map."""
-    rows = stage(records(docs, n_slots), "shard-records")
+    rows = stage(records(docs), "shard-records")
+    rows = stage(with_slot(rows, stage(heavy_texts(rows, n_slots), "shard-heavy"), n_slots), "shard-slots")
     slot_map = SlotMap(docs.sparkSession, n_slots=n_slots).build(slot_loads(rows), n_shards)
     return number_rows(rows, slot_map)
