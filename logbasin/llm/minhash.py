@@ -20,8 +20,8 @@ similar pairs by far less. No bucket, group or number of partners is capped.
 Defined results: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a text of
 fewer words than a shingle is one shingle of all its words; null, empty or blank texts
 have no shingles and link with nothing. Rows that repeat a doc_id are judged by their
-own texts. Rows without doc_id take no part and have no component. Empty tables give
-empty results; extra columns pass through ``keep_one``.
+own texts. doc_id is a whole number. Rows without it take no part and have no component. Empty tables
+give empty results; extra columns pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from logbasin.llm.common import fresh_name, ship, stage
 
 ship(__name__)
 WORDS, THRESHOLD, BANDS, ROWS, SLICE = 5, 80, 32, 5, 1 << 21
+CELL = 8
 FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 SETS = "rep long, shingles array<long>, minima array<tinyint>"
 
@@ -262,16 +263,36 @@ def _compare(threshold: int, limit: int):
     return run
 
 
-def _blocks(rows: DataFrame, name: str, size: str, block: int) -> DataFrame:
-    """A group's members in blocks of about ``block``, dealt by hash; ``size`` names the column with their number."""
+def _blocks(rows: DataFrame, name: str, size: str, across: str, block: int, cell: int) -> DataFrame:
+    """A group's members in blocks of about ``block``, dealt by hash, for a grid of cells.
+
+    ``size`` and ``across`` name the columns with the number of members on this side and on the other one. A block
+    lies in row ``own_cell`` of the grid and is copied to every cell of that row.
+    """
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col(size) / block)))
-    return dealt.groupBy("grp", "part").agg(F.collect_list(F.struct("rep", "label", "minima", "shingles")).alias(name)).drop("part")
+    blocks = dealt.groupBy("grp", "part").agg(
+        F.collect_list(F.struct("rep", "label", "minima", "shingles")).alias(name), F.ceil(F.first(across) / (block * cell)).alias("cells")
+    )
+    beside = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    return blocks.select("grp", F.floor(F.col("part") / cell).alias("own_cell"), beside.alias("other_cell"), name)
+
+
+def _spread(met: DataFrame, sets: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, hub, part) and (hub, part, hub_shingles, hub_minima): at most about ``block`` representatives a part."""
+    heavy = stage(met.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")).where("parts > 1"), "mh-heavy")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = met.join(heavy, "hub", "left").select("rep", "hub", F.pmod(F.xxhash64("rep"), parts).alias("part"))
+    hubs = sets.join(met.select("hub").distinct(), F.col("rep") == F.col("hub"), "left_semi").withColumnRenamed("rep", "hub")
+    copies = hubs.join(heavy, "hub", "left").select(
+        "hub", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("shingles").alias("hub_shingles"), F.col("minima").alias("hub_minima"),
+    )
+    return stage(dealt, "mh-dealt"), copies
 
 
 # -- the operator -------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = 256, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable) for every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = stage(texts.mapInArrow(_features(words, bands, rows), FEATURES), "mh-features")
@@ -298,8 +319,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     sets = stage(kept.mapInArrow(_sets(words, n_minima), SETS), "mh-sets")
     limit = signature_limit(threshold, n_minima)
     fits = 100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")
-    other = sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("hub_shingles"), F.col("minima").alias("hub_minima"))
-    pairs = met.where(fits).join(sets, "rep").join(other, "hub")
+    dealt, hub_sets = _spread(stage(met.where(fits).select("rep", "hub"), "mh-fits"), sets, block)
+    pairs = dealt.join(sets, "rep").join(hub_sets, ["hub", "part"])
     linked = pairs.where((agreeing(F.col("minima"), F.col("hub_minima")) >= limit)).where(similar(F.col("shingles"), F.col("hub_shingles"), threshold))
     links = stage(linked.select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), "mh-links")
     first = components(links)
@@ -315,9 +336,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     )
     mixed_groups = stage(mixed_groups.where("labels > 1").drop("labels"), "mh-groups")
     open_rows = stage(named.join(mixed_groups, "grp").join(sets, "rep"), "mh-open")
-    some = _blocks(open_rows.where("label <> main"), "some", "some_size", block)
-    members = _blocks(open_rows, "members", "all_size", block)
-    more = some.join(members, "grp").select("some", "members").mapInArrow(_compare(threshold, limit), "u long, v long")
+    some = _blocks(open_rows.where("label <> main"), "some", "some_size", "all_size", block, cell)
+    members = _blocks(open_rows, "members", "all_size", "some_size", block, cell)
+    members = members.select("grp", F.col("other_cell").alias("own_cell"), F.col("own_cell").alias("other_cell"), "members")
+    more = some.join(members, ["grp", "own_cell", "other_cell"]).select("some", "members").mapInArrow(_compare(threshold, limit), "u long, v long")
     final = components(links.unionByName(stage(more.where("u <> v").distinct(), "mh-more")))
     # Back to all rows: by the class of the row's set.
     labelled = classes.join(final.select(F.col("u").alias("rep"), F.col("v").alias("component_id")), "rep", "left")
