@@ -6,6 +6,7 @@ import itertools
 import json
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -346,6 +347,34 @@ def test_sharding(spark, docs):
     assert sharding.shard_documents(empty(spark), 4, 16).count() == 0
 
 
+def shards_by_hand(rows, given, n_shards):
+    """Sizes, checksums and gapless places as the texts give them; the bytes of each shard and the shards of each text."""
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in given)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    loads, places, texts = [0] * n_shards, defaultdict(list), defaultdict(set)
+    for r in rows:
+        loads[r.shard] += r.size
+        places[r.shard].append(r.slot)
+        texts[r.size, r.text_crc32].add(r.shard)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    return loads, texts
+
+
+def test_repeated_rows_and_equal_texts_keep_the_law(spark):
+    """2,000 equal rows, 500 documents of one text, 700 empty ones, and pairs of equal texts that stay together."""
+    given = [(7, "the same row " * 4)] * 2000 + [(i, "one text " * 9) for i in range(1000, 1500)] + [(None, None)] * 300 + [(i, "") for i in range(400)]
+    given += [(3000 + i, f"text of a pair {i // 2}") for i in range(1200)]
+    loads, texts = shards_by_hand(sharding.shard_documents(make_pairs(spark, given)).collect(), given, 16)
+    assert max(loads) - min(loads) <= 0.02 * sum(loads) / 16
+    pairs = [s for i in range(600) if (s := texts[len(f"text of a pair {i}") + 1, zlib.crc32(f"text of a pair {i}".encode())])]
+    assert len(pairs) == 600 and all(len(s) == 1 for s in pairs)
+    assert len(texts[1, 0]) > 1 and len(texts[53, zlib.crc32(given[0][1].encode())]) == 16
+
+
+def make_pairs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
 def test_rebalancing_moves_few_slots(spark):
     loads = spark.createDataFrame([(s, 100 + s % 7, 1) for s in range(64)], "virtual_slot int, bytes long, records long")
     slots = sharding.SlotMap(spark, n_slots=64)
@@ -380,7 +409,7 @@ def near_by_hand(rows, words, threshold=80):
 
 def test_near_duplicates(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    found = minhash.near_duplicates(crowded(docs), words=4, block=3).collect()
+    found = minhash.near_duplicates(crowded(docs), words=4, block=3, cell=2).collect()
     assert len(found) == len(rows)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == near_by_hand(rows, 4)
     kept = minhash.keep_one(crowded(docs))
@@ -399,7 +428,7 @@ def test_a_group_of_chained_variants(spark):
         chain.append(" ".join(text))
     rng.shuffle(chain)
     rows = list(enumerate(chain))
-    found = minhash.near_duplicates(make(spark, chain), words=4, block=8).collect()
+    found = minhash.near_duplicates(make(spark, chain), words=4, block=8, cell=1).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == near_by_hand(rows, 4)
 
 
