@@ -8,11 +8,12 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from logbasin.functions import cleaning
 from logbasin.operators import parse
 from logbasin.plans import etl
 from logbasin.session import new_folder
-from logbasin.sources import readers, writers
+from logbasin.sources import fixtures, readers, writers
 from logbasin.streaming import jobs as streams
 
 
@@ -47,6 +48,35 @@ def test_staged_records_keep_no_accepted_line_and_hours_one_file(spark, lines, l
     assert len(_files(f"{folder}/table")) == 1 and readers.read_requests(spark, f"{folder}/table").where("is_error is not null").count() == 50
 
 
+def _lineitem(spark, folder, keys) -> str:
+    rows = [(k, i, i % 9, i % 7 + 1, 900.5 + i, "RN"[i % 2], "OF"[i % 2]) for i, k in enumerate(keys)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, names).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_lines_by_time_are_all_lines_in_even_stretches(spark):
+    # Rows without an order have no time; a third of the others has that of two seconds.
+    folder = _lineitem(spark, new_folder(spark, "table"), [None] * 30 + [*range(600)] + [5] * 300 * 2)
+    lines = fixtures.lines_by_time(spark, folder)
+    whole = fixtures.raw_lines(spark, folder)
+    assert sorted(lines.collect(), key=str) == sorted(whole.collect(), key=str)
+    records = parse.accepted(parse.parse_lines(lines)).withColumn("part", F.spark_partition_id())
+    spans = records.groupBy("part").agg(F.min("parsed_timestamp_syslog").alias("a"), F.max("parsed_timestamp_syslog").alias("b"), F.count("*").alias("n")).orderBy("a", "b").collect()
+    assert all(x.b <= y.a for x, y in zip(spans, spans[1:])) and max(x.n for x in spans) < 3 * 1230 / len(spans)
+
+
+def test_stored_requests_shuffle_given_columns_only(spark, monkeypatch):
+    folder, seen = _lineitem(spark, new_folder(spark, "table"), range(50)), []
+    monkeypatch.setattr(entry.writers, "write_requests", lambda df, path, **options: seen.append((df, options)))
+    entry._stored(spark, folder)
+    (df, options), = seen
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Rebalance" not in plan and plan.count("RepartitionByExpression") == 1 and options == {"gather": False}
+    # Derived columns stand above the sort, so no field is parsed again for them.
+    assert "AS is_error" in plan.split("Sort [", 1)[0] and plan.count("Sort [") == 1
+
+
 def test_landed_files_are_packed_in_the_order_of_lines():
     def greedy(rows, limit):
         held, rolls, out = {}, {}, {}
