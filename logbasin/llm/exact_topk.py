@@ -7,9 +7,10 @@ x the largest |d(q, p) - d(x, p)| over the pivots bounds their distance from bel
 Candidates are evaluated in the order of the bound, until the k-th score is above the
 next bound; what is left cannot enter the result.
 
-Candidates are dealt into groups of blocks and every block of queries goes to every
-group, so a task holds one block of each. Each pair of blocks gives k rows a query at
-most, of which the last step takes the k best.
+Candidates are dealt into groups, a task each, and every query goes to every group. Both
+come to the task as rows, candidates first, so it holds one group and a batch of queries;
+nothing is joined or broadcast. Each group gives k rows a query at most, of which the last
+step takes the k best.
 
 Defined results: vectors null, empty or holding null or non-finite components take no
 part, neither do vectors of another length than the most common; equal scores go by
@@ -28,10 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logbasin.llm.common import ship, stage
-from logbasin.llm.vectors import unpack, usable
+from logbasin.llm.vectors import usable
 
 ship(__name__)
-SCALE, N_PIVOTS, BLOCK, QUERY_BLOCK, STEP = 1024, 64, 4096, 256, 128
+SCALE, N_PIVOTS, BLOCK, STEP = 1024, 64, 4096, 128
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -110,14 +111,26 @@ def _table(pivots: np.ndarray):
 
 
 def _search(pivots: np.ndarray, k: int):
+    """Rows come by group, its candidates before its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts = None, []
         for b in batches:
-            for i in range(len(b)):
-                qid, q = unpack(b.column("queries"), i)
-                ids, joined = unpack(b.column("candidates"), i)
-                dim = joined.shape[1] - len(pivots)
-                found = search_block(qid, q, ids, joined[:, :dim], pivots, k, joined[:, dim:])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+            if not len(b):
+                continue
+            groups, asked, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "asked", "vec_id"))
+            firsts = np.flatnonzero(np.concatenate([[True], (groups[1:] != groups[:-1]) | (asked[1:] != asked[:-1])]))
+            for start, end in zip(firsts, [*firsts[1:], len(b)]):
+                m = b.column("vector").slice(start, end - start).flatten().to_numpy(zero_copy_only=False).reshape(end - start, -1)
+                if groups[start] != current:
+                    current, parts = groups[start], []
+                if not asked[start]:
+                    parts.append((ids[start:end], m))
+                elif parts:
+                    parts = [tuple(np.concatenate(p) for p in zip(*parts))]
+                    (own, joined), dim = parts[0], m.shape[1]
+                    found = search_block(ids[start:end], m, own, joined[:, :dim], pivots, k, joined[:, dim:])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -134,15 +147,12 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding
     tabled = stage(tabled, "pivot-table")
     groups = max(1, -(-tabled.count() // block))
     own = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
-    candidates = (
-        tabled.select(own.alias("grp"), F.struct("vec_id", F.concat("vector", "distances").alias("vector")).alias("v"))
-        .groupBy("grp").agg(F.collect_list("v").alias("candidates"))
-    )
-    asked = tabled.where(is_query).select("vec_id", "vector")
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    queries = asked.groupBy(F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(n_blocks)).alias("q")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
-    everywhere = queries.select("queries", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    found = everywhere.join(candidates, "grp").select("queries", "candidates").mapInArrow(_search(pivots, k), FOUND)
+    candidates = tabled.select(own.alias("grp"), F.lit(False).alias("asked"), "vec_id", F.concat("vector", "distances").alias("vector"))
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    queries = tabled.where(is_query).select(everywhere.alias("grp"), F.lit(True).alias("asked"), "vec_id", "vector")
+    # As many partitions as groups: their work is far more than their bytes, by which Spark would put them together.
+    dealt = candidates.unionByName(queries).repartition(groups, "grp").sortWithinPartitions("grp", "asked")
+    found = dealt.mapInArrow(_search(pivots, k), FOUND)
     return best(found, k, "score")
 
 
