@@ -136,7 +136,7 @@ def chunks_of(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
 
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     schema = "chunk long, lang string, words array<string>, counts array<long>, line binary"
-    return stage(given.mapInArrow(work, schema), "phrase-chunks")
+    return stage(given.mapInArrow(work, schema), "phrase-chunks", wide=True)
 
 
 # -- ids --------------------------------------------------------------------------------------
@@ -163,7 +163,7 @@ def with_ids(chunks: DataFrame, words: DataFrame) -> DataFrame:
     known = words.select("lang", "word", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     met = entries.join(known, ["lang", "word", "salt"]).groupBy("chunk").agg(F.collect_list(F.struct("pos", "id")).alias("met"))
     both = chunks.select("chunk", "line", F.size("words").alias("n_words")).join(met, "chunk")
-    return stage(both.select("line", "n_words", F.col("met.pos").alias("pos"), F.col("met.id").alias("ids")), "phrase-ids")
+    return stage(both.select("line", "n_words", F.col("met.pos").alias("pos"), F.col("met.id").alias("ids")), "phrase-ids", wide=True)
 
 
 def id_width(n_ids: int) -> int:

@@ -21,10 +21,17 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def stage(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataFrame:
-    """Write a table below the shared folder and read it back: the lineage ends there and survives lost executors."""
+# A reader takes up to 4,096 rows of a row group at once, whatever their size, and a writer looks at its own only every hundred.
+WIDE_ROWS = {"parquet.block.row.count.limit": 8}
+
+
+def stage(df: DataFrame, label: str, partition_by: Iterable[str] = (), wide: bool = False) -> DataFrame:
+    """Write a table below the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    ``wide`` is for rows of megabytes: row groups of a few of them, so that neither writing nor reading holds many.
+    """
     spark, folder = df.sparkSession, new_folder(df.sparkSession, label)
-    df.write.partitionBy(*partition_by).parquet(folder)
+    df.write.partitionBy(*partition_by).options(**(WIDE_ROWS if wide else {})).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
