@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import random
 from pathlib import Path
 
@@ -123,3 +125,26 @@ def test_strip_and_spread(spark, lines):
     texts = [" a ", "\ta\x0b", "a b", "", " ", "\r\n", "a\x0c"]
     assert [r[0] for r in lines(*texts).select(cleaning.strip(F.col("value"))).collect()] == [t.strip(cleaning.BLANKS) for t in texts]
     assert readers.spread(spark.range(100), 37).rdd.getNumPartitions() == 37
+
+
+def test_payloads_are_decoded_once(spark):
+    texts = parse.decode_payload(spark.createDataFrame([("eA==",), ("%%",)], "data string")).where("reject_reason is null").select("value")
+    assert texts._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and texts.collect() == [("x",)]
+
+
+def test_encoded_batch_is_read_once(spark, line, monkeypatch):
+    folder, seen, bad = new_folder(spark, "once"), [], line.replace(" 200 ", " 500 ")
+    sent = [base64.b64encode(x).decode() for x in (bad.encode(), gzip.compress(bad.encode()), b"\xff\xfe")] + ["%%"]
+    spark.createDataFrame([(x,) for x in sent], "value string").write.text(f"{folder}/raw")
+    decode = parse.decode_payload
+    monkeypatch.setattr(parse, "decode_payload", lambda df, *a: seen.append(df) or decode(df, *a))
+    plans = []
+    union = type(spark.range(1)).unionByName
+    monkeypatch.setattr(type(spark.range(1)), "unionByName", lambda self, other, *a, **b: plans.append(1) or union(self, other, *a, **b))
+    streams.filter_alerts(
+        readers.stream_from(spark, "text", path=f"{folder}/raw"), f"{folder}/alerts", f"{folder}/state", streams.AVAILABLE_NOW, rejects_path=f"{folder}/errors"
+    ).awaitTermination()
+    assert len(seen) == 1 and not plans
+    assert [r.log_type for r in readers.read_alerts(spark, f"{folder}/alerts").collect()] == ["f5_access", "f5_access"]
+    rejects = readers.read_rejects(spark, f"{folder}/errors").collect()
+    assert sorted(r.line for r in rejects) == sorted(["%%", sent[2]]) and {(r.record_format, r.reject_reason) for r in rejects} == {(None, "undecodable")}
